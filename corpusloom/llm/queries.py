@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import sampling, splits, survivors
-from corpusloom.session import table
+from corpusloom.llm import mixing, packing, sampling, splits, survivors, tokens
+from corpusloom.session import checkpoint, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,37 @@ def p6_sample_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample(table(spark, sf_dir, "verified"), "source_id", take=32).select("row_no", "id", "source_id", "sample_number", "sample_block")
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a container of each kind."""
+    docs = checkpoint(tokens.sized(table(spark, sf_dir, "documents")))
+    return packing.pack(docs, table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return packing.fill_report(p8_packed(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
+    docs = checkpoint(tokens.sized(table(spark, sf_dir, "documents")))
+    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"), **how)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture as large as the named sources, each at its share as far as its repeats allow."""
+    return _mix(spark, sf_dir, fill=True)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that this mixture reached."""
+    return mixing.report(*_mix(spark, sf_dir, fill=True))
+
+
+def p9_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the largest mixture in which no source lacks repeats for its share."""
+    return mixing.report(*_mix(spark, sf_dir))
+
+
 _P4_FOUND = r"""
 WITH RECURSIVE rows AS (
   SELECT row_no, nullif(lower(trim(id, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), '') AS i,
@@ -88,6 +119,7 @@ def _digest(column: str) -> str:
 
 def queries() -> dict[str, Query]:
     own = [p1_splits, p1_report, p4_found, p4_survivors, p6_sample_rows, p6_sample_ids, p6_sample_sources]
+    own += [p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_exact]
     return {q.__name__: q for q in own}
 
 
