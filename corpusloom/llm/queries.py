@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, packing, sampling, splits, survivors, tokens
+from corpusloom.llm import language, mixing, packing, sampling, splits, survivors, tokens
 from corpusloom.session import checkpoint, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,21 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(verified, survivors.clips(verified), SURVIVING)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transcript whose language label is missing or wrong, with the right one."""
+    return language.wrong_labels(table(spark, sf_dir, "machine_verify_state"))
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language and confidence of every transcript."""
+    return language.tagged(table(spark, sf_dir, "machine_verify_state")).select(F.col("n").alias("seq"), "label", "language", "confidence", "rejected")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of one language of every transcript."""
+    return language.segments(table(spark, sf_dir, "machine_verify_state"))
+
+
 def p6_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13 of every 128 row numbers of verified."""
     return sampling.sample(table(spark, sf_dir, "verified"), "row_no").select("row_no", "id", "source_id", "sample_number", "sample_block")
@@ -118,7 +133,7 @@ def _digest(column: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_splits, p1_report, p4_found, p4_survivors, p6_sample_rows, p6_sample_ids, p6_sample_sources]
+    own = [p1_splits, p1_report, p4_found, p4_survivors, p5_found, p5_languages, p5_segments, p6_sample_rows, p6_sample_ids, p6_sample_sources]
     own += [p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_exact]
     return {q.__name__: q for q in own}
 
