@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language, mixing, packing, sampling, splits, survivors, tokens
+from corpusloom.llm import language, mixing, packing, sampling, splits, subjects, survivors, tokens
 from corpusloom.session import checkpoint, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,20 @@ def p9_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(*_mix(spark, sf_dir))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject that a fifth of a document's sentences are about."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters by subject."""
+    return subjects.composition(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 _P4_FOUND = r"""
 WITH RECURSIVE rows AS (
   SELECT row_no, nullif(lower(trim(id, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), '') AS i,
@@ -134,7 +148,7 @@ def _digest(column: str) -> str:
 
 def queries() -> dict[str, Query]:
     own = [p1_splits, p1_report, p4_found, p4_survivors, p5_found, p5_languages, p5_segments, p6_sample_rows, p6_sample_ids, p6_sample_sources]
-    own += [p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_exact]
+    own += [p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_exact, p10_found, p10_composition]
     return {q.__name__: q for q in own}
 
 
