@@ -29,18 +29,29 @@ ROUNDS = 3
 #: Words after which a run of text without sentence marks counts as a further sentence.
 LONGEST = 28
 LEAST_SHARE = 0.2
+#: Terms that may be sent to every executor: some 40 bytes each.
+BROADCAST_TERMS = 200_000
 #: How much a document's own subjects decide the reading of a term that has several.
 CONTEXT = 0.15
 
 
 def _units(text: Column) -> Column:
-    """The sentences of a text as arrays of words in lower case; run-on texts are cut every LONGEST words."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"<[^>]{1,200}>|&[a-z]{2,8};", " "), r"[​-‍﻿]", "")
-    sentences = F.split(plain, r"[.!?।॥\n\r]+")
-    words = F.transform(sentences, lambda s: F.filter(F.split(s, r"[^\p{L}\p{M}]+"), lambda w: w != ""))
-    words = F.filter(words, lambda s: F.size(s) > 0)
-    parts = F.transform(words, lambda s: F.transform(F.sequence(F.lit(1), F.size(s), F.lit(LONGEST)), lambda i: F.slice(s, i, LONGEST)))
-    return F.flatten(parts)
+    """The sentences of a text as arrays of words in lower case; run-on texts are cut every LONGEST words.
+
+    The first and last word of a sentence may be empty.
+    """
+    plain = F.replace(F.replace(F.lower(text), F.lit("\u200d"), F.lit("")), F.lit("\u200c"), F.lit(""))
+    marked = F.contains(plain, F.lit("<")) | F.contains(plain, F.lit("&"))
+    plain = F.when(marked, F.regexp_replace(plain, r"<[^>]{1,200}>|&[a-z]{2,8};", " ")).otherwise(plain)
+    words = F.transform(F.split(plain, r"[.!?।॥\n\r]+"), lambda s: F.split(s, r"[^\p{L}\p{M}]+"))
+    words = F.filter(words, lambda s: (F.size(s) > 1) | (F.get(s, F.lit(0)) != ""))
+    cut = lambda s: F.transform(F.sequence(F.lit(1), F.size(s), F.lit(LONGEST)), lambda i: F.slice(s, i, LONGEST))
+    return F.flatten(F.transform(words, lambda s: F.when(F.size(s) <= LONGEST, F.array(s)).otherwise(cut(s))))
+
+
+def _with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """The words that are terms. The terms are sent to every executor if they are few enough, else both sides are shuffled."""
+    return words.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term")
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -55,29 +66,32 @@ def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "
 
     ``labels`` are ``doc_id, subject``; subjects that ``areas`` don't name (without blanks and
     case), and labels of unknown documents, are ignored. Documents without words give no row, and
-    so does every document if there is no usable label. A repeated document id is one document
-    with all its sentences; repeated labels count once.
+    so does every document if there is no usable label. Rows that repeat a document id are read as
+    copies of one document; repeated labels count once.
     """
     named = areas.select(key(F.col("subject")).alias("k"), F.col("subject").alias("subject")).filter(F.col("k").isNotNull()).dropDuplicates(["k"])
     seeds = labels.select(F.col(doc_id).alias("d"), key(F.col("subject")).alias("k")).join(F.broadcast(named), "k").select("d", "subject").distinct()
     seeds = checkpoint(seeds)
     units = df.select(F.col(doc_id).alias("d"), _units(F.coalesce(F.col(text), F.lit(""))).alias("units"))
 
-    # Term statistics over all documents, with the seeds' labels beside them.
-    marked = seeds.groupBy("d").agg(F.collect_set("subject").alias("own"))
+    # Term statistics: over all documents, and the seeds' labels of each term.
     names = [r["subject"] for r in named.orderBy("k").collect()]
-    words = units.join(marked, "d", "left").select(F.explode(F.array_distinct(F.flatten("units"))).alias("term"), "own")
-    given = [F.sum(F.when(F.array_contains("own", n), 1.0 / F.size("own"))).alias(f"s{j}") for j, n in enumerate(names)]
-    stats = words.groupBy("term").agg(F.count("*").alias("n"), F.count("own").alias("seen"), *given)
-    most = F.greatest(F.lit(0.0), *[F.coalesce(f"s{j}", F.lit(0.0)) for j in range(len(names))])
+    distinct = lambda d: d.select("d", F.explode(F.array_distinct(F.flatten("units"))).alias("term"))
+    stats = distinct(units).groupBy("term").agg(F.count("*").alias("n"))
+    marked = seeds.groupBy("d").agg(F.collect_set("subject").alias("own"))
+    given = [F.sum(F.when(F.array_contains("own", n), 1.0 / F.size("own")).otherwise(0.0)).alias(f"s{j}") for j, n in enumerate(names)]
+    seen = distinct(units.join(marked.select("d"), "d", "left_semi")).join(marked, "d").groupBy("term").agg(F.count("*").alias("seen"), *given)
+    most = F.greatest(F.lit(0.0), *[F.col(f"s{j}") for j in range(len(names))])
+    common = seen.filter((F.col("seen") >= SEEN) & (most / F.col("seen") < COMMON)).select("term")
     n_docs = df.count()
-    verified = stats.filter((F.col("n") >= LEAST_DOCS) & (F.col("n") <= max(LEAST_DOCS, n_docs * MOST_DOCS)) & ~((F.col("seen") >= SEEN) & (most / F.col("seen") < COMMON)))
-    verified = verified.select("term", F.xxhash64("term").alias("t"))
-
-    # Edges carry the bitmap of the sentences the term is in, in words of 60 sentences.
-    sent = units.select("d", F.posexplode("units").alias("u", "words")).select("d", "u", F.explode(F.array_distinct("words")).alias("term"))
-    edges = sent.join(verified, "term").groupBy("d", F.col("t").alias("term"), F.floor(F.col("u") / 60).cast("int").alias("page"))
-    edges = checkpoint(edges.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("u") % 60)).alias("bits")))
+    verified = stats.filter((F.col("term") != "") & (F.col("n") >= LEAST_DOCS) & (F.col("n") <= max(LEAST_DOCS, n_docs * MOST_DOCS))).join(common, "term", "left_anti")
+    verified = checkpoint(verified.select("term", F.xxhash64("term").alias("t")))
+
+    # Edges carry the bitmap of the sentences the term is in, 60 to a page, and the document's number of sentences.
+    sent = units.select("d", F.size("units").alias("size"), F.posexplode("units").alias("u", "words")).select("d", "size", "u", F.explode("words").alias("term"))
+    edges = _with_terms(sent, verified).groupBy("d", F.col("t").alias("term"), F.floor(F.col("u") / 60).cast("int").alias("page"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("u") % 60)
+    edges = checkpoint(edges.agg(F.bit_or(bit).alias("bits"), F.max("size").alias("size")))
     pairs = edges.select("d", "term").distinct()
 
     now = seeds.withColumn("w", 1.0 / F.count("*").over(_by("d")))
@@ -102,10 +116,8 @@ def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "
     readings = pairs.join(narrow, "term").join(about, ["d", "subject"], "left")
     best = readings.groupBy("d", "term").agg(F.max_by(F.struct("subject", "part", "own"), F.struct(F.col("part") * (CONTEXT + F.coalesce("own", F.lit(0.0))), "part", "subject")).alias("r"))
     clear = best.filter((F.col("r.part") >= PURE) | F.col("r.own").isNotNull()).select("d", "term", F.col("r.subject").alias("subject"))
-    held = edges.join(clear, ["d", "term"]).groupBy("d", "subject", "page").agg(F.bit_or("bits").alias("bits"))
-    counts = held.groupBy("d", "subject").agg(F.sum(F.bit_count("bits")).alias("n"))
-    sizes = units.groupBy("d").agg(F.sum(F.size("units")).alias("size"))
-    shares = counts.join(sizes, "d").withColumn("share", F.col("n") / F.col("size"))
+    held = edges.join(clear, ["d", "term"]).groupBy("d", "subject", "page").agg(F.bit_or("bits").alias("bits"), F.max("size").alias("size"))
+    shares = held.groupBy("d", "subject").agg((F.sum(F.bit_count("bits")) / F.max("size")).alias("share"))
     return shares.filter(F.col("share") >= LEAST_SHARE).select(F.col("d").alias(doc_id), "subject", "share")
 
 
