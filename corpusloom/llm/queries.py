@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language, mixing, packing, sampling, splits, subjects, survivors, tokens
+from corpusloom.llm import language, mixing, overlap, packing, sampling, splits, subjects, survivors, tokens
 from corpusloom.session import checkpoint, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,16 @@ def p6_sample_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample(table(spark, sf_dir, "verified"), "source_id", take=32).select("row_no", "id", "source_id", "sample_number", "sample_block")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a training row and an evaluation row of one clip or nearly the same text."""
+    return overlap.cross_split_pairs(table(spark, sf_dir, "verified"), table(spark, sf_dir, "clip_splits"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping rows and pairs per evaluation split and source."""
+    return overlap.report(table(spark, sf_dir, "verified"), table(spark, sf_dir, "clip_splits"), p7_found(spark, sf_dir))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in a container of each kind."""
     docs = checkpoint(tokens.sized(table(spark, sf_dir, "documents")))
@@ -148,7 +158,7 @@ def _digest(column: str) -> str:
 
 def queries() -> dict[str, Query]:
     own = [p1_splits, p1_report, p4_found, p4_survivors, p5_found, p5_languages, p5_segments, p6_sample_rows, p6_sample_ids, p6_sample_sources]
-    own += [p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_exact, p10_found, p10_composition]
+    own += [p7_found, p7_report, p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_exact, p10_found, p10_composition]
     return {q.__name__: q for q in own}
 
 
