@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,23 @@ def get_session(app: str = "corpusloom", cpus: int | None = None, partitions: in
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that Python workers can import it wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_corpusloom_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="corpusloom-")) / "corpusloom_sources.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, Path(root.name) / file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._corpusloom_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
