@@ -12,7 +12,13 @@ and a document about those of a fifth of its sentences.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import key
@@ -35,23 +41,76 @@ BROADCAST_TERMS = 200_000
 CONTEXT = 0.15
 
 
-def _units(text: Column) -> Column:
-    """The sentences of a text as arrays of words in lower case; run-on texts are cut every LONGEST words.
+_MARKUP = re.compile(r"<[^>]{1,200}>|&[a-z]{2,8};")
 
-    The first and last word of a sentence may be empty.
-    """
-    plain = F.replace(F.replace(F.lower(text), F.lit("\u200d"), F.lit("")), F.lit("\u200c"), F.lit(""))
-    marked = F.contains(plain, F.lit("<")) | F.contains(plain, F.lit("&"))
-    plain = F.when(marked, F.regexp_replace(plain, r"<[^>]{1,200}>|&[a-z]{2,8};", " ")).otherwise(plain)
-    words = F.transform(F.split(plain, r"[.!?।॥\n\r]+"), lambda s: F.split(s, r"[^\p{L}\p{M}]+"))
-    words = F.filter(words, lambda s: (F.size(s) > 1) | (F.get(s, F.lit(0)) != ""))
-    cut = lambda s: F.transform(F.sequence(F.lit(1), F.size(s), F.lit(LONGEST)), lambda i: F.slice(s, i, LONGEST))
-    return F.flatten(F.transform(words, lambda s: F.when(F.size(s) <= LONGEST, F.array(s)).otherwise(cut(s))))
 
+class _Plain(dict):
+    """What each code point becomes: letters and their marks themselves, the end of a sentence a line feed, joiners nothing, all else a blank."""
+
+    def __missing__(self, o: int) -> int | None:
+        c = chr(o)
+        self[o] = o if unicodedata.category(c)[0] in "LM" else 10 if c in ".!?।॥\n\r" else None if o in (0x200C, 0x200D) else 32
+        return self[o]
+
+
+def sentences(text: str | None, table: _Plain = _Plain()) -> list[list[str]]:
+    """The sentences of a text as words in lower case; run-on texts are cut every LONGEST words."""
+    plain = (text or "").lower()
+    if "<" in plain or "&" in plain:
+        plain = _MARKUP.sub(" ", plain)
+    found = [w for s in plain.translate(table).split("\n") if (w := s.split())]
+    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``term, n``: in how many of the documents each word is, counted per batch before the shuffle."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n: Counter = Counter()
+            for t in pdf["text"]:
+                n.update({w for s in sentences(t) for w in s})
+            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
-def _with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """The words that are terms. The terms are sent to every executor if they are few enough, else both sides are shuffled."""
-    return words.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term")
+    return docs.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        pairs = [(d, w) for d, t in zip(pdf["d"], pdf["text"]) for w in {w for s in sentences(t) for w in s}]
+        yield pd.DataFrame({"d": [d for d, _ in pairs], "term": [w for _, w in pairs]})
+
+
+def _edges(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``d, term, page, bits, size``: in which sentences of a document each term is, 60 to a page, and how many it has.
+
+    Few terms go to every worker, which then passes on nothing else; if there are more than BROADCAST_TERMS, all
+    words are passed on and joined with the terms.
+    """
+    spark = docs.sparkSession
+    few = terms.count() <= BROADCAST_TERMS
+    known = spark.sparkContext.broadcast({r["term"]: r["t"] for r in terms.collect()}) if few else None
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = known.value if few else None
+        for pdf in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for d, t in zip(pdf["d"], pdf["text"]):
+                parts, held = sentences(t), {}
+                for u, words in enumerate(parts):
+                    page, bit = u // 60, 1 << (u % 60)
+                    for w in set(words):
+                        w = ids.get(w) if few else w
+                        if w is not None:
+                            held[w, page] = held.get((w, page), 0) | bit
+                for (w, page), bits in held.items():
+                    for column, x in zip(out, (d, w, page, bits, len(parts))):
+                        column.append(x)
+            yield pd.DataFrame(dict(zip(("d", "term", "page", "bits", "size"), out)))
+
+    kind = dict(docs.dtypes)["d"]
+    found = docs.mapInPandas(find, f"d {kind}, term {'long' if few else 'string'}, page int, bits long, size int")
+    return found if few else found.join(terms, "term").select("d", F.col("t").alias("term"), "page", "bits", "size")
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,26 +131,21 @@ def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "
     named = areas.select(key(F.col("subject")).alias("k"), F.col("subject").alias("subject")).filter(F.col("k").isNotNull()).dropDuplicates(["k"])
     seeds = labels.select(F.col(doc_id).alias("d"), key(F.col("subject")).alias("k")).join(F.broadcast(named), "k").select("d", "subject").distinct()
     seeds = checkpoint(seeds)
-    units = df.select(F.col(doc_id).alias("d"), _units(F.coalesce(F.col(text), F.lit(""))).alias("units"))
+    docs = df.select(F.col(doc_id).alias("d"), F.col(text).alias("text"))
 
     # Term statistics: over all documents, and the seeds' labels of each term.
     names = [r["subject"] for r in named.orderBy("k").collect()]
-    distinct = lambda d: d.select("d", F.explode(F.array_distinct(F.flatten("units"))).alias("term"))
-    stats = distinct(units).groupBy("term").agg(F.count("*").alias("n"))
+    stats = _counted(docs)
     marked = seeds.groupBy("d").agg(F.collect_set("subject").alias("own"))
     given = [F.sum(F.when(F.array_contains("own", n), 1.0 / F.size("own")).otherwise(0.0)).alias(f"s{j}") for j, n in enumerate(names)]
-    seen = distinct(units.join(marked.select("d"), "d", "left_semi")).join(marked, "d").groupBy("term").agg(F.count("*").alias("seen"), *given)
+    labelled = docs.join(marked.select("d"), "d", "left_semi").mapInPandas(_distinct_words, f"d {dict(docs.dtypes)['d']}, term string")
+    seen = labelled.join(marked, "d").groupBy("term").agg(F.count("*").alias("seen"), *given)
     most = F.greatest(F.lit(0.0), *[F.col(f"s{j}") for j in range(len(names))])
     common = seen.filter((F.col("seen") >= SEEN) & (most / F.col("seen") < COMMON)).select("term")
     n_docs = df.count()
-    verified = stats.filter((F.col("term") != "") & (F.col("n") >= LEAST_DOCS) & (F.col("n") <= max(LEAST_DOCS, n_docs * MOST_DOCS))).join(common, "term", "left_anti")
+    verified = stats.filter((F.col("n") >= LEAST_DOCS) & (F.col("n") <= max(LEAST_DOCS, n_docs * MOST_DOCS))).join(common, "term", "left_anti")
     verified = checkpoint(verified.select("term", F.xxhash64("term").alias("t")))
-
-    # Edges carry the bitmap of the sentences the term is in, 60 to a page, and the document's number of sentences.
-    sent = units.select("d", F.size("units").alias("size"), F.posexplode("units").alias("u", "words")).select("d", "size", "u", F.explode("words").alias("term"))
-    edges = _with_terms(sent, verified).groupBy("d", F.col("t").alias("term"), F.floor(F.col("u") / 60).cast("int").alias("page"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("u") % 60)
-    edges = checkpoint(edges.agg(F.bit_or(bit).alias("bits"), F.max("size").alias("size")))
+    edges = checkpoint(_edges(docs, verified))
     pairs = edges.select("d", "term").distinct()
 
     now = seeds.withColumn("w", 1.0 / F.count("*").over(_by("d")))
