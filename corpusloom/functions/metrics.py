@@ -68,12 +68,23 @@ def error_rates(df: DataFrame, reference: str, heard: str) -> DataFrame:
     return sums.select(rate("we", "wn").alias("wer"), rate("ce", "cn").alias("cer"))
 
 
-def matching_ratio(a: Column, b: Column) -> Column:
-    """Twice the matching letters over all letters, by longest matching blocks; the order of the two matters."""
+def matching_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Twice the matching letters over all letters, by longest matching blocks; the order of the two matters.
+
+    Pairs that can't reach ``least``, as they haven't letters enough in common, give null.
+    """
 
     @F.pandas_udf("double")
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield pd.Series([difflib.SequenceMatcher(None, p, q).ratio() if p is not None and q is not None else None for p, q in zip(x, y)], dtype="float64")
+            out: list[float | None] = []
+            for p, q in zip(x, y):
+                if p is None or q is None:
+                    out.append(None)
+                    continue
+                common = sum(min(p.count(c), q.count(c)) for c in set(p))
+                enough = not (p or q) or 2.0 * common >= least * (len(p) + len(q)) - 1e-9
+                out.append(difflib.SequenceMatcher(None, p, q).ratio() if enough else None)
+            yield pd.Series(out, dtype="float64")
 
     return ratio(a, b)

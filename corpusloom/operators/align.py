@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.metrics import matching_ratio
 from corpusloom.functions.script import skeleton, skeleton_gujarati, skeleton_roman
+from corpusloom.functions.text import strip
 from corpusloom.operators.segments import padded
 
 # Similarity, repetitions per phrase, bounds on a phrase's skeleton and on an aligned clip's seconds.
@@ -18,7 +19,7 @@ LEAST_SECONDS, MOST_SECONDS = 0.5, 15.0
 def alternates(field: Column) -> Column:
     """The parts of a field between slashes, without what stands in parentheses; empty ones left out."""
     parts = F.split(F.regexp_replace(F.coalesce(field, F.lit("")), r"\([^)]*\)", " "), "/")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
 def variants(phrases: DataFrame) -> DataFrame:
@@ -38,22 +39,30 @@ def phrase_faults(phrases: DataFrame) -> DataFrame:
     return d.select("id", fault.alias("fault")).filter(F.col("fault").isNotNull())
 
 
-def spans(words: DataFrame, longest: DataFrame) -> DataFrame:
-    """``video_id, i, j, skel``: runs of words ``video_id, pos, w`` whose joined skeleton a phrase of the video could match.
+def spans(words: DataFrame, most: int) -> DataFrame:
+    """``video_id, i, j, span``: runs of words ``video_id, pos, w`` whose joined skeleton a phrase could match.
 
-    A run ends before its skeleton exceeds 1.8 times the video's longest phrase plus 3 letters
-    (``video_id, most``), so runs are bounded by length however many words have no skeleton. Words of
-    a video are an array in order, and runs are built by a fold over the rest of it.
+    A run ends before its skeleton exceeds 1.8 times the longest phrase, ``most``, plus 3 letters. Words
+    without a skeleton add nothing: of the runs that differ by them alone the one that begins with
+    a letter and takes in what follows would be picked, so only that is built. So a run has as many words
+    as letters at most, and is a window of bounded length over the words of a video.
     """
-    s = words.withColumn("s", skeleton(F.col("w"))).groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("all"))
-    s = s.join(longest, "video_id").select("video_id", "most", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("i"))
-    # Each word but empty ones adds a letter, so most + 1 words with letters end a run.
-    start = F.struct(F.lit("").alias("t"), F.array().cast("array<string>").alias("runs"), F.lit(False).alias("over"))
-    step = lambda acc, w: F.when(acc["over"] | (F.length(F.concat(acc["t"], w)) > 1.8 * F.col("most") + 3), F.struct(acc["t"].alias("t"), acc["runs"].alias("runs"), F.lit(True).alias("over"))).otherwise(
-        F.struct(F.concat(acc["t"], w).alias("t"), F.concat(acc["runs"], F.array(F.concat(acc["t"], w))).alias("runs"), F.lit(False).alias("over"))
-    )
-    runs = F.aggregate(F.slice(F.col("all"), F.col("i") + 1, F.size("all")), start, step, lambda acc: acc["runs"])
-    return s.select("video_id", "i", F.posexplode(runs).alias("k", "skel")).select("video_id", "i", (F.col("i") + F.col("k") + 1).alias("j"), "skel")
+    longest = int(1.8 * most + 3)
+    by = Window.partitionBy("video_id").orderBy("pos")
+    d = words.select("video_id", "pos", skeleton(F.col("w")).alias("s")).withColumn("end", F.max("pos").over(Window.partitionBy("video_id")) + 1)
+    d = d.filter("s <> ''").withColumn("upto", F.coalesce(F.lead("pos").over(by), "end"))
+    ahead = F.collect_list(F.struct("s", "upto")).over(by.rowsBetween(0, longest))
+    d = d.select("video_id", F.col("pos").alias("i"), ahead.alias("ahead"))
+    none = F.array().cast("array<struct<span:string,j:int>>")
+    start = F.struct(F.lit("").alias("t"), none.alias("runs"))
+
+    def step(acc: Column, x: Column) -> Column:
+        t = F.concat(acc["t"], x["s"])
+        longer = F.struct(t.alias("t"), F.concat(acc["runs"], F.array(F.struct(t.alias("span"), x["upto"].cast("int").alias("j")))).alias("runs"))
+        return F.when(F.length(t) > longest, F.struct(t.alias("t"), acc["runs"].alias("runs"))).otherwise(longer)
+
+    runs = F.aggregate("ahead", start, step, lambda acc: acc["runs"])
+    return d.select("video_id", F.col("i").cast("int").alias("i"), F.explode(runs).alias("x")).select("video_id", "i", "x.j", "x.span")
 
 
 def matches(phrases: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -64,12 +73,12 @@ def matches(phrases: DataFrame, words: DataFrame, threshold: float = THRESHOLD)
     the later start wins.
     """
     v = variants(phrases).withColumn("target", F.max(F.length("skel")).over(Window.partitionBy("id"))).filter(F.col("skel") != "")
-    longest = v.groupBy("video_id").agg(F.max("target").alias("most"))
+    most = v.agg(F.max("target")).first()[0] or 0
     n, target = F.length("span"), F.col("target")
     both, least = F.length("skel") + n, F.least(F.length("skel"), n)
     band = (n >= 0.5 * target) & (n <= 1.8 * target + 3) & (2 * least >= threshold * both - 1e-9)
-    cand = v.join(spans(words, longest).withColumnRenamed("skel", "span"), "video_id").filter(band)
-    scored = cand.select("skel", "span").distinct().withColumn("score", matching_ratio(F.col("skel"), F.col("span"))).filter(F.col("score") >= threshold)
+    cand = v.join(spans(words, most), "video_id").filter(band)
+    scored = cand.select("skel", "span").distinct().withColumn("score", matching_ratio(F.col("skel"), F.col("span"), threshold)).filter(F.col("score") >= threshold)
     hits = cand.join(scored, ["skel", "span"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("score", "i", "j", "vi")), asc=False).alias("h"))
     free = lambda kept, x: ~F.exists(kept, lambda k: (x["i"] < k["j"]) & (k["i"] < x["j"])) & (F.size(kept) < MOST_REPETITIONS)
     empty = F.array().cast("array<struct<score:double,i:int,j:int,vi:int>>")

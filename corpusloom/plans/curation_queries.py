@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import metrics
@@ -224,11 +224,23 @@ def _phrases(s, d):
 
 
 def _words(s, d):
-    """The words of a source's verified transcripts in order of row_no, half a second each."""
-    v = _verified(s, d).select(F.col("source_id").alias("video_id"), "row_no", F.posexplode(F.split(F.coalesce("transcript", F.lit("")), r"\s+")).alias("p", "w")).filter("w <> '' AND video_id IS NOT NULL")
-    base = v.select("video_id", "row_no", "p", "w", F.col("row_no").alias("clip"))
-    # Words of one clip are a timeline of their own, so that runs don't cross clips.
-    return base.select(F.concat_ws("#", "video_id", "clip").alias("video_id"), F.col("video_id").alias("source"), F.col("p").alias("pos"), "w", (F.col("p") * 0.5).alias("s"), (F.col("p") * 0.5 + 0.5).alias("e"))
+    """The words of each source's manifest drafts end to end, half a second each."""
+    m = table(s, d, "manifest").filter("asr_draft IS NOT NULL AND source_id IS NOT NULL")
+    w = m.select(F.col("source_id").alias("video_id"), F.posexplode(F.split("asr_draft", r"\s+")).alias("p", "w"), "start", "id", "ingested_at").filter("w <> ''")
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("start", "id", "ingested_at", "p", "w")) - 1
+    return w.select("video_id", place.alias("pos"), "w").select("video_id", "pos", "w", (F.col("pos") * 0.5).alias("s"), (F.col("pos") * 0.5 + 0.5).alias("e"))
+
+
+def fuzzy_align(s, d):
+    """Up to four clips of each phrase in its source's words."""
+    p = _phrases(s, d)
+    words = _words(s, d)
+    return align.clips(align.matches(p, words), words, p)
+
+
+def matched_phrases(s, d):
+    """How many phrases have a clip, and how many clips there are."""
+    return fuzzy_align(s, d).agg(F.countDistinct("id").alias("n_phrases"), F.count("*").alias("n_clips"))
 
 
 def alternates_zip(s, d):
@@ -329,7 +341,7 @@ def _marks(words: list[str]) -> str:
 
 
 def _alternates_sql(column: str) -> str:
-    return rf"list_filter(list_transform(string_split(regexp_replace(coalesce({column}, ''), '\([^)]*\)', ' ', 'g'), '/'), lambda p: trim(p)), lambda p: p <> '')"
+    return rf"list_filter(list_transform(string_split(regexp_replace(coalesce({column}, ''), '\([^)]*\)', ' ', 'g'), '/'), lambda p: regexp_replace(p, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda p: p <> '')"
 
 
 _SUSPECT = rf"""
@@ -403,7 +415,7 @@ def queries() -> dict[str, Query]:
     own = [
         minutes_by_source_tier, input_counts, rejects, reject_counts, total_minutes, dedup_tiered, dedup_sequential, merged_sorted, drift_audit, eval_split_source, eval_split_clip, train_minus_eval,
         split_leak, split_mode, eval_guard_counts, clip_resolve, done_anti_join, duration_gate, state_last_wins, requeue_errors, pending_unseen, agreement_scores, agreement_skeletons, lang_gate,
-        verdict_counts, adjudication_batches, apply_decisions, cer_micro, error_rates, chroma_segments, card_picks, card_clip_overlap, alternates_zip, align_report, desk_overlay, desk_progress,
+        verdict_counts, adjudication_batches, apply_decisions, cer_micro, error_rates, chroma_segments, card_picks, card_clip_overlap, alternates_zip, align_report, fuzzy_align, matched_phrases, desk_overlay, desk_progress,
         desk_export, next_pending, clock_labels,
     ]
     return {q.__name__: q for q in own}

@@ -1,6 +1,44 @@
-def queries():
-    return {}
+"""Queries that run as streams over the files and end when all were read."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.session import shared_folder, table
+from corpusloom.streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of manifest, ingested once each by a stream."""
+    # A pattern, as a stream takes folders or patterns and a table may be one file.
+    work = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
+    files = table(spark, sf_dir, "manifest")
+    stream = incremental.file_stream(spark, f"{sf_dir}/manifest.parque[t]", files.schema, "parquet")
+    incremental.ingest(stream.select("id", "source_id"), f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/out").select("id")
+
+
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of each id, kept by a stream."""
+    work = f"{shared_folder(spark)}/state-{uuid4().hex}"
+    files = table(spark, sf_dir, "machine_verify_state")
+    stream = incremental.file_stream(spark, f"{sf_dir}/machine_verify_state.parque[t]", files.schema, "parquet")
+    incremental.upsert_state(stream.select("id", "seq", "mv_verdict"), f"{work}/state", f"{work}/checkpoint").awaitTermination()
+    return incremental.current_state(spark, f"{work}/state").filter(F.col("id").isNotNull()).select("id", "seq", "mv_verdict")
+
+
+def queries() -> dict[str, Query]:
+    return {"stream_ingest": stream_ingest, "stream_state": stream_state}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "stream_ingest": "SELECT DISTINCT id FROM manifest WHERE id IS NOT NULL",
+        "stream_state": "SELECT id, seq, mv_verdict FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM machine_verify_state WHERE id IS NOT NULL) WHERE n = 1",
+    }

@@ -49,19 +49,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage by writing to the folder shared by all executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only a session that runs in one
-    process on one machine may do without that setting; it then gets a temporary folder.
+    Only a session that runs in one process on one machine may do without that setting; it then
+    gets a temporary folder.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not getattr(context, "_corpusloom_folder", None):
+            context._corpusloom_folder = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
+        folder = context._corpusloom_folder
+    return folder
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage by writing to the folder shared by all executors."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
