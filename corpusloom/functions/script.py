@@ -143,3 +143,4 @@ def skeleton(text: Column) -> Column:
     """The longer of both skeletons, the Gujarati one of equals."""
     g, r = skeleton_gujarati(text), skeleton_roman(text)
     return F.when(F.length(r) > F.length(g), r).otherwise(g)
+

@@ -50,26 +50,20 @@ def spans(words: DataFrame, most: int) -> DataFrame:
     longest = int(1.8 * most + 3)
     by = Window.partitionBy("video_id").orderBy("pos")
     d = words.select("video_id", "pos", skeleton(F.col("w")).alias("s")).withColumn("end", F.max("pos").over(Window.partitionBy("video_id")) + 1)
-    d = d.filter("s <> ''").withColumn("upto", F.coalesce(F.lead("pos").over(by), "end"))
-    ahead = F.collect_list(F.struct("s", "upto")).over(by.rowsBetween(0, longest))
-    d = d.select("video_id", F.col("pos").alias("i"), ahead.alias("ahead"))
-    none = F.array().cast("array<struct<span:string,j:int>>")
-    start = F.struct(F.lit("").alias("t"), none.alias("runs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        t = F.concat(acc["t"], x["s"])
-        longer = F.struct(t.alias("t"), F.concat(acc["runs"], F.array(F.struct(t.alias("span"), x["upto"].cast("int").alias("j")))).alias("runs"))
-        return F.when(F.length(t) > longest, F.struct(t.alias("t"), acc["runs"].alias("runs"))).otherwise(longer)
-
-    runs = F.aggregate("ahead", start, step, lambda acc: acc["runs"])
-    return d.select("video_id", F.col("i").cast("int").alias("i"), F.explode(runs).alias("x")).select("video_id", "i", "x.j", "x.span")
+    d = d.filter("s <> ''").withColumns({"upto": F.coalesce(F.lead("pos").over(by), "end"), "past": F.sum(F.length("s")).over(by)})
+    d = d.withColumn("before", F.col("past") - F.length("s"))
+    ahead = F.collect_list(F.struct("s", "upto", "past")).over(Window.partitionBy("video_id").orderBy("before").rangeBetween(0, longest))
+    d = d.select("video_id", F.col("pos").alias("i"), "before", ahead.alias("ahead"))
+    d = d.select("video_id", "i", "before", F.array_join("ahead.s", "").alias("t"), F.explode(F.arrays_zip("ahead.upto", "ahead.past")).alias("x")).withColumn("n", (F.col("x.past") - F.col("before")).cast("int"))
+    return d.filter(F.col("n") <= longest).select("video_id", F.col("i").cast("int").alias("i"), F.col("x.upto").cast("int").alias("j"), F.expr("substring(t, 1, n)").alias("span"))
 
 
 def matches(phrases: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``id, r, score, i, j, vi``: up to four spans per phrase that are similar enough and don't overlap, best first.
 
     The similarity is taken of distinct pairs of skeletons only, after bounds that lose none: the
-    length band, and that a ratio can't exceed twice the shorter length over both. Of equal scores
+    length band, and that a ratio can't exceed twice the shorter length over both (and, in the
+    similarity itself, twice the letters in common). Of equal scores
     the later start wins.
     """
     v = variants(phrases).withColumn("target", F.max(F.length("skel")).over(Window.partitionBy("id"))).filter(F.col("skel") != "")
