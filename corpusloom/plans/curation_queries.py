@@ -406,6 +406,10 @@ SELECT id, vi, guj, roman FROM z""",
 SELECT count(*) AS n_clips, count(*) FILTER (status = 'verified') AS n_verified, round(100.0 * count(*) FILTER (status = 'verified') / greatest(count(*), 1), 6) AS percent,
        round(coalesce(sum(coalesce(duration, 0)) FILTER (status = 'verified'), 0) / 60.0, 6) AS minutes FROM verified""",
     "desk_export": "SELECT id, clip, duration, transcript, roman, source_id FROM verified WHERE status = 'verified'",
+    "desk_overlay": """
+WITH first AS (SELECT id, arg_min(status, {'a': ingested_at, 'b': start, 'c': duration, 'd': transcript, 'e': notes}) AS status FROM manifest GROUP BY id),
+saved AS (SELECT id, arg_min(status, row_no) AS status FROM verified WHERE id IS NOT NULL GROUP BY id)
+SELECT coalesce(nullif(s.status, ''), nullif(f.status, ''), 'pending') AS status, count(*) AS n_rows FROM first f LEFT JOIN saved s ON f.id = s.id GROUP BY 1""",
     "next_pending": "SELECT coalesce(min(seq) FILTER (mv_verdict = 'pending' AND seq > 100), least(101, max(seq))) AS next FROM machine_verify_state",
     "clock_labels": "SELECT row_no, CAST(s // 60 AS VARCHAR) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS label FROM (SELECT row_no, CAST(floor(coalesce(start, 0)) AS BIGINT) AS s FROM verified)",
 }

@@ -270,13 +270,17 @@ def _lexicon_sql(column: str) -> str:
     return _sql_translate(column, "".join(map(chr, block)) + "।॥ऽ॰", "".join(chr(o + 0x180) for o in block) + "..")
 
 
+def _word_sql() -> str:
+    table_ = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in VARIANTS.items()) + "}"
+    bare = "regexp_replace(w, '[.?]+$', '')"
+    return f"coalesce(({table_})[{bare}] || substr(w, length({bare}) + 1), w)"
+
+
 def _normalised_sql(column: str, rows: str) -> str:
     """The convention in SQL: ``raw``, ``done`` and the flags of ``rows``."""
     signs = lexicon.PUNCTUATION.replace("'", "''")
     blanks = " " * len(lexicon.PUNCTUATION)
-    table_ = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in VARIANTS.items()) + "}"
-    bare = "regexp_replace(w, '[.?]+$', '')"
-    word = f"coalesce(({table_})[{bare}] || substr(w, length({bare}) + 1), w)"
+    word = _word_sql()
     return rf"""
 WITH raws AS (SELECT *, nfc_normalize(coalesce({column}, '')) AS raw FROM {rows}),
 shifted AS (SELECT *, CASE WHEN regexp_matches(raw, '[\x{{0900}}-\x{{097F}}]') THEN {_lexicon_sql("raw")} ELSE raw END AS moved FROM raws),
@@ -314,6 +318,9 @@ ORACLE = {
     "normalize_text": _normalised_sql("transcript", "verified") + " SELECT row_no, done AS text, array_to_string(flags, ',') AS flags FROM flagged",
     "lexicon_audit": _normalised_sql("text", "documents")
     + " SELECT count(*) AS checked, count(*) FILTER (done <> text) AS would_change, count(*) FILTER (len(flags) > 0) AS flagged FROM flagged WHERE coalesce(text, '') <> ''",
+    "variant_fold": rf"""
+WITH worded AS (SELECT row_no, regexp_split_to_array(regexp_replace(coalesce(transcript, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '[\s\p{{Z}}]+') AS words FROM verified)
+SELECT row_no, array_to_string(list_transform(words, lambda w: {_word_sql()}), ' ') AS transcript FROM worded""",
     "dev_to_guj_ingest": f"SELECT doc_id, md5({_ingest_sql()}) AS digest FROM documents",
     "dev_to_guj_lexicon": f"SELECT doc_id, md5({_lexicon_sql('''coalesce(text, '')''')}) AS digest FROM documents",
     "slugs": r"""
