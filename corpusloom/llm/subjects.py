@@ -2,12 +2,13 @@
 
 Two documents are similar by the terms they share, so the graph is kept as edges of documents and
 terms; a step from documents to terms and back is a step over all similar pairs without listing
-them. Term statistics cover all documents; a term is verified if it occurs in enough documents,
-in no more than a set share of them, and isn't shown by the labelled documents to be common to all
-subjects. Labels go from the hand-labelled seeds to terms and from terms to documents by joins,
-again and again; seeds stay clamped as long as their own terms don't contradict them, and a
-document may keep several subjects. At the end each sentence is about the subjects of its terms,
-and a document about those of a fifth of its sentences.
+them. Copies of a text are one document until the end, where each gets what the text has. Term
+statistics cover all texts; a term is verified if it occurs in enough of them and isn't shown by
+the labelled ones to be common to all subjects, however frequent it is. Labels go from the
+hand-labelled seeds to terms and from terms to documents by joins, again and again; seeds stay
+clamped as long as their own terms don't contradict them, and a document may keep several subjects.
+At the end each sentence is about the subjects of its terms, and a document about those of a fifth
+of its sentences.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import key
 from corpusloom.session import checkpoint
 
+#: Texts that a term must be in, and the share of them above which any number of seeds shows whether it is common.
 LEAST_DOCS, MOST_DOCS = 3, 0.10
-#: Seeds from which a term can be seen to be common, and the largest subject's part below which it is.
+#: Seeds from which a less frequent term can be seen to be common, and the part of every subject below which it is.
 SEEN, COMMON = 8, 0.25
 #: Part of a term's labels that must be of one subject for it to carry that subject on; and the weight of no label at all.
 PURE, DOUBT = 0.5, 3.0
@@ -35,7 +38,7 @@ ROUNDS = 3
 #: Words after which a run of text without sentence marks counts as a further sentence.
 LONGEST = 28
 LEAST_SHARE = 0.2
-#: Terms that may be sent to every executor: some 40 bytes each.
+#: Terms, or copies, that may be sent to every executor: some 40 bytes each.
 BROADCAST_TERMS = 200_000
 #: How much a document's own subjects decide the reading of a term that has several.
 CONTEXT = 0.15
@@ -62,17 +65,42 @@ def sentences(text: str | None, table: _Plain = _Plain()) -> list[list[str]]:
     return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """``term, n``: in how many of the documents each word is, counted per batch before the shuffle."""
+def _read(docs: DataFrame) -> DataFrame:
+    """``d, term, n``: without ``d`` in how many documents of a batch each word is, without ``term`` the digest of each document's sentences."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n: Counter = Counter()
+            digests = []
             for t in pdf["text"]:
-                n.update({w for s in sentences(t) for w in s})
-            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+                parts = sentences(t)
+                n.update({w for s in parts for w in s})
+                plain = "\n".join(" ".join(s) for s in parts)
+                digests.append(int.from_bytes(blake2b(plain.encode(), digest_size=8).digest(), "big", signed=True))
+            ids = pd.Series([*[None] * len(n), *pdf["d"].tolist()], dtype=object)
+            yield pd.DataFrame({"d": ids, "term": [*n, *[None] * len(digests)], "n": [*n.values(), *digests]})
 
-    return docs.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.mapInPandas(read, f"d {dict(docs.dtypes)['d']}, term string, n long")
+
+
+def _without_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` with one document of each text; ``d, first`` of the others, with the document that stands for them; and ``term, n``, in how many texts each word is.
+
+    Texts are only moved if there are more than BROADCAST_TERMS copies, or if rows repeat a document id. A document
+    whose rows differ stands for itself.
+    """
+    read = checkpoint(_read(docs))
+    keys = read.filter("term IS NULL").groupBy("d").agg(F.count("*").alias("n"), F.min("n").alias("k"), F.max("n").alias("l"))
+    if keys.filter("n > 1").limit(1).count():
+        docs = docs.distinct()
+        read = checkpoint(_read(docs))
+    one = keys.filter("k = l").select("d", "k")
+    several = one.groupBy("k").agg(F.min("d").alias("first"), F.count("*").alias("n")).filter("n > 1").select("k", "first")
+    copies = checkpoint(one.join(several, "k").filter(F.col("d") != F.col("first")).select("d", "first"))
+    known = F.broadcast(copies.select("d")) if copies.count() <= BROADCAST_TERMS else copies.select("d")
+    twice = _read(docs.join(known, "d", "left_semi")).withColumn("n", -F.col("n"))
+    counted = read.unionByName(twice).filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.join(known, "d", "left_anti"), copies, counted
 
 
 def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,25 +154,32 @@ def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "
     ``labels`` are ``doc_id, subject``; subjects that ``areas`` don't name (without blanks and
     case), and labels of unknown documents, are ignored. Documents without words give no row, and
     so does every document if there is no usable label. Rows that repeat a document id are read as
-    copies of one document; repeated labels count once.
+    copies of one document; repeated labels count once. Copies of a text share their labels, of which
+    those stay that LEAST_SHARE of the labelled copies have.
     """
     named = areas.select(key(F.col("subject")).alias("k"), F.col("subject").alias("subject")).filter(F.col("k").isNotNull()).dropDuplicates(["k"])
     seeds = labels.select(F.col(doc_id).alias("d"), key(F.col("subject")).alias("k")).join(F.broadcast(named), "k").select("d", "subject").distinct()
-    seeds = checkpoint(seeds)
-    docs = df.select(F.col(doc_id).alias("d"), F.col(text).alias("text"))
+    docs, copies, stats = _without_copies(df.select(F.col(doc_id).alias("d"), F.col(text).alias("text")))
+    hands = seeds.join(copies, "d", "left").select(F.coalesce("first", "d").alias("d"), F.col("d").alias("hand"), "subject")
+    votes = hands.groupBy("d", "subject").agg(F.count("*").alias("n")).join(hands.groupBy("d").agg(F.countDistinct("hand").alias("all")), "d")
+    seeds = checkpoint(votes.filter(F.col("n") >= F.col("all") * LEAST_SHARE).select("d", "subject"))
 
-    # Term statistics: over all documents, and the seeds' labels of each term.
+    # Term statistics: over all texts, and the seeds' labels of each term.
     names = [r["subject"] for r in named.orderBy("k").collect()]
-    stats = _counted(docs)
     marked = seeds.groupBy("d").agg(F.collect_set("subject").alias("own"))
     given = [F.sum(F.when(F.array_contains("own", n), 1.0 / F.size("own")).otherwise(0.0)).alias(f"s{j}") for j, n in enumerate(names)]
     labelled = docs.join(marked.select("d"), "d", "left_semi").mapInPandas(_distinct_words, f"d {dict(docs.dtypes)['d']}, term string")
     seen = labelled.join(marked, "d").groupBy("term").agg(F.count("*").alias("seen"), *given)
-    most = F.greatest(F.lit(0.0), *[F.col(f"s{j}") for j in range(len(names))])
-    common = seen.filter((F.col("seen") >= SEEN) & (most / F.col("seen") < COMMON)).select("term")
-    n_docs = df.count()
-    verified = stats.filter((F.col("n") >= LEAST_DOCS) & (F.col("n") <= max(LEAST_DOCS, n_docs * MOST_DOCS))).join(common, "term", "left_anti")
-    verified = checkpoint(verified.select("term", F.xxhash64("term").alias("t")))
+    # A term tells of a subject that has more of the term's seeds than of all seeds: twice as much, or a quarter of the way to all.
+    base = marked.join(docs.select("d"), "d", "left_semi").agg(F.count("*").alias("seen"), *given).first()
+    telling = F.lit(False)
+    for j in range(len(names)):
+        usual = (base[f"s{j}"] or 0.0) / max(1, base["seen"])
+        telling |= F.col(f"s{j}") / F.col("seen") >= max(COMMON, min(2 * usual, usual + (1 - usual) / 4))
+    n_docs = docs.count()
+    frequent = stats.filter(F.col("n") >= LEAST_DOCS).withColumn("much", F.col("n") > n_docs * MOST_DOCS)
+    judged = frequent.join(seen, "term", "left").filter(~F.coalesce((F.col("much") | (F.col("seen") >= SEEN)) & ~telling, F.lit(False)))
+    verified = checkpoint(judged.select("term", F.xxhash64("term").alias("t")))
     edges = checkpoint(_edges(docs, verified))
     pairs = edges.select("d", "term").distinct()
 
@@ -172,7 +207,9 @@ def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "
     clear = best.filter((F.col("r.part") >= PURE) | F.col("r.own").isNotNull()).select("d", "term", F.col("r.subject").alias("subject"))
     held = edges.join(clear, ["d", "term"]).groupBy("d", "subject", "page").agg(F.bit_or("bits").alias("bits"), F.max("size").alias("size"))
     shares = held.groupBy("d", "subject").agg((F.sum(F.bit_count("bits")) / F.max("size")).alias("share"))
-    return shares.filter(F.col("share") >= LEAST_SHARE).select(F.col("d").alias(doc_id), "subject", "share")
+    found = shares.filter(F.col("share") >= LEAST_SHARE).select("d", "subject", "share")
+    again = copies.join(found.withColumnRenamed("d", "first"), "first").select("d", "subject", "share")
+    return found.unionByName(again).withColumnRenamed("d", doc_id)
 
 
 def _by(column: str):

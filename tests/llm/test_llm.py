@@ -298,6 +298,19 @@ def test_subjects_found_and_both_ways_agree(spark, monkeypatch):
     assert subjects.subjects(d, labels.limit(0), areas).count() == subjects.subjects(d.limit(0), labels, areas).count() == 0
 
 
+def test_subjects_of_copies_that_are_a_third_of_all_rows(spark):
+    d, labels, areas, truth = subject_data(spark)
+    text = ". ".join(f"x{'abcdefghij'[k]} Judge said court" for k in range(10))
+    copies = [(2000 + j, text if j % 2 else text.upper().replace(". ", " ! ")) for j in range(200)]
+    others = [(3000 + j, ". ".join(f"{'abcdefghijklmnopqrst'[(j + k) % 20]}q {'abcdefghijklmnopqrst'[(j * 7 + k) % 20]}z" for k in range(8))) for j in range(300)]
+    rows = d.unionByName(spark.createDataFrame(copies + others, "doc_id long, text string"))
+    marks = labels.unionByName(spark.createDataFrame([*((2000 + j, "law") for j in range(12)), (2012, "sea")], "doc_id long, subject string"))
+    got = {(r["doc_id"], r["subject"]) for r in subjects.subjects(rows, marks, areas).collect()}
+    assert {x for x in got if 2000 <= x[0] < 2200} == {(2000 + j, "law") for j in range(200)}
+    want = {(j, s) for j, ss in truth.items() for s in ss}
+    assert len({x for x in got if x[0] < 1000} & want) / len(want) > 0.95
+
+
 def test_sentences():
     assert subjects.sentences("A b. <p>C&nbsp;d\n\n1 2 3! ક્‍ષ") == [["a", "b"], ["c", "d"], ["ક્ષ"]]
     assert [len(s) for s in subjects.sentences("w " * 70)] == [28, 28, 14] and subjects.sentences(None) == []
