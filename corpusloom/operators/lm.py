@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.prefix import running_sum
 from corpusloom.operators.corpus import BUCKET
+from corpusloom.session import checkpoint
 
 # The sign that stands for a blank before a word, special tokens, and the least count of a merge.
 BLANK, SPECIALS, LEAST_COUNT = "▁", ("<unk>", "<|endoftext|>"), 2
@@ -46,10 +48,13 @@ def pair_counts(words: DataFrame) -> DataFrame:
 def train_merges(words: DataFrame, vocabulary: int, least: int = LEAST_COUNT, most_words: int = 200_000) -> list[tuple[str, str]]:
     """Merges by falling count (of equals the smaller pair), until the vocabulary is full or no pair is frequent.
 
-    Text is read once, into word counts; the ``most_words`` most frequent words are merged on the
-    driver: a bounded sample of the vocabulary to train on, while encoding covers all text.
+    Text is read once, into word counts, and every word counts. Up to ``most_words`` distinct words are
+    merged on the driver; more stay a table, from which pairs are counted anew in each round, with the same merges.
     """
-    rows = words.orderBy(F.desc("n"), "word").limit(most_words).collect()
+    words = checkpoint(words.filter("word <> ''"))
+    rows = words.limit(most_words + 1).collect()
+    if len(rows) > most_words:
+        return _merges_of_table(words, vocabulary, least)
     split = [(list(r["word"]), r["n"]) for r in rows]
     size = len({c for w, _ in split for c in w}) + len(SPECIALS)
     where: dict[tuple, set[int]] = {}
@@ -58,27 +63,102 @@ def train_merges(words: DataFrame, vocabulary: int, least: int = LEAST_COUNT, mo
         for pair in zip(w, w[1:]):
             count[pair] += n
             where.setdefault(pair, set()).add(j)
+    # Counts as they were when put in; the newest of a pair is the one that holds.
+    heap = [(-n, pair) for pair, n in count.items()]
+    heapify(heap)
     merges: list[tuple[str, str]] = []
-    while size + len(merges) < vocabulary and count:
-        best, n = min(count.items(), key=lambda x: (-x[1], x[0]))
-        if n < least:
+    while size + len(merges) < vocabulary and heap:
+        n, best = heappop(heap)
+        if count.get(best, 0) != -n:
+            continue
+        if -n < least:
             break
         merges.append(best)
+        changed: set[tuple] = set()
         for j in where.pop(best, set()):
             w, times = split[j]
             for pair in zip(w, w[1:]):
                 count[pair] -= times
-                if count[pair] <= 0:
-                    del count[pair]
-            k, out = 0, []
-            while k < len(w):
-                joined = k + 1 < len(w) and (w[k], w[k + 1]) == best
-                out.append(w[k] + w[k + 1] if joined else w[k])
-                k += 2 if joined else 1
-            split[j] = (out, times)
+                changed.add(pair)
+            split[j] = (out := _joined(w, {best: 0}), times)
             for pair in zip(out, out[1:]):
                 count[pair] += times
                 where.setdefault(pair, set()).add(j)
+                changed.add(pair)
+        for pair in changed:
+            if count[pair] > 0:
+                heappush(heap, (-count[pair], pair))
+            else:
+                del count[pair]
+    return merges
+
+
+def _joined(word: list[str], pairs: Container) -> list[str]:
+    """A word with neighbours that are one of the pairs joined, from the left; pairs that can't overlap, or one."""
+    k, out = 0, []
+    while k < len(word):
+        joined = k + 1 < len(word) and (word[k], word[k + 1]) in pairs
+        out.append(word[k] + word[k + 1] if joined else word[k])
+        k += 2 if joined else 1
+    return out
+
+
+def settled_merges(ranked: list[tuple[str, str, int]], made: Container = ()) -> list[tuple[str, str]]:
+    """The first merges that follow from ranked pair counts alone, one at least.
+
+    A pair is next as long as no merge before it can overlap it or make a pair that ranks above it. A new
+    pair is no more frequent than the pair across the merge's edge that it comes from; if that ranks
+    higher, it is met first and overlaps the merge. Of equals, (ab, y) may rank above (b, y), so those are looked at.
+    A merge that spells a token ``made`` before adds to that token's pairs, so it is the last one.
+    """
+    equals: dict[int, dict[str, list[str]]] = {}
+    for a, b, n in ranked:
+        equals.setdefault(n, {}).setdefault(a, []).append(b)
+    taken: list[tuple[str, str]] = []
+    firsts: set[str] = set()
+    ends: dict[str, list[str]] = {}
+    for a, b, n in ranked:
+        if taken and (a in ends or b in firsts or a == b):
+            break
+        if any((whole, y) < (a, b) for end in ends.keys() & equals[n].keys() for y in equals[n][end] for whole in ends[end]):
+            break
+        taken.append((a, b))
+        if a == b or a + b in made or any(a + b == x + y for x, y in taken[:-1]):
+            break
+        firsts.add(a)
+        ends.setdefault(b, []).append(a + b)
+    return taken
+
+
+def _merges_of_table(words: DataFrame, vocabulary: int, least: int, fetched: int = 10_000) -> list[tuple[str, str]]:
+    """The same merges with the words kept as a table; a round makes all merges that its counts settle."""
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"w": [list(w) for w in pdf["word"]], "n": pdf["n"]})
+
+    now = checkpoint(words.mapInPandas(apart, "w array<string>, n long"))
+    size = now.select(F.explode("w").alias("c")).distinct().count() + len(SPECIALS)
+    merges: list[tuple[str, str]] = []
+    while size + len(merges) < vocabulary:
+        now = now.filter(F.size("w") > 1)
+        pairs = now.select("n", F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
+        top = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(fetched).collect()
+        ranked = [(r["a"], r["b"], r["n"]) for r in top]
+        if len(ranked) == fetched:
+            # The pairs that are as frequent as the last may not all be here; the first of all is certain.
+            ranked = [r for r in ranked if r[2] > ranked[-1][2]] or ranked[:1]
+        new = settled_merges(ranked, {a + b for a, b in merges})[: vocabulary - size - len(merges)]
+        if not new:
+            break
+        merges += new
+        known = frozenset(new)
+
+        def join(batches: Iterator[pd.DataFrame], known: frozenset = known) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"w": [_joined(list(w), known) for w in pdf["w"]], "n": pdf["n"]})
+
+        now = checkpoint(now.mapInPandas(join, "w array<string>, n long"))
     return merges
 
 

@@ -15,7 +15,7 @@ from corpusloom.sources import html
 Query = Callable[[SparkSession, str], DataFrame]
 # Spellings that the convention's log decides.
 VARIANTS = {"આઉં": "આઉ", "આઈં": "આઈ", "તું": "તૂ", "મુકે.": "મુકે", "તોકેં": "તોકે", "અસાજો": "અસાંજો", "પાજો": "પાંજો", "મુંજો": "મુજો", "બજ઼ાર": "બજાર"}
-BYTE_BUDGET, WINDOW, VOCABULARY = 500_000, 64, 400
+BYTE_BUDGET, WINDOW, VOCABULARY = 500_000, 64, 16_000
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:

@@ -207,3 +207,41 @@ def test_sources(spark, tmp_path):
     r = html.posts(pages).collect()
     assert [(x["title"], x["text"], x["scripts"], x["source_site"], x["n_lines"]) for x in r] == [("T", "મુકે ઘર", ["gujarati", "latin"], "s.example", 1)]
     assert [x["link"] for x in html.links(pages).collect()] == ["/n"]
+
+
+def test_merges_of_all_words(spark):
+    import random
+
+    def plain(words, vocabulary):
+        split, merges = [(list(w), n) for w, n in words.items()], []
+        size = len({c for w in words for c in w}) + len(lm.SPECIALS)
+        while size + len(merges) < vocabulary:
+            count = {}
+            for w, n in split:
+                for p in zip(w, w[1:]):
+                    count[p] = count.get(p, 0) + n
+            if not count or max(count.values()) < lm.LEAST_COUNT:
+                break
+            best = min(count, key=lambda p: (-count[p], p))
+            merges.append(best)
+            split = [(lm._joined(w, {best}), n) for w, n in split]
+        return merges
+
+    rng = random.Random(4)
+    words = {"▁" + "".join(rng.choice("aaabbcdefg") for _ in range(rng.randint(1, 8))): rng.choice([1, 1, 2, 3, 9]) for _ in range(60)}
+    d = spark.createDataFrame(list(words.items()), "word string, n long")
+    want = plain(words, 45)
+    assert len(want) > 25
+    assert lm.train_merges(d, 45) == want
+    assert lm.train_merges(d, 45, most_words=10) == want
+    assert lm.settled_merges([("a", "bc", 9), ("d", "e", 5)], {"abc"}) == [("a", "bc")]
+    # A settled batch is what one merge after the other gives, on many small tables with equal counts.
+    for seed in range(300):
+        rng = random.Random(seed)
+        words = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))): rng.randint(1, 4) for _ in range(rng.randint(2, 9))}
+        count = {}
+        for w, n in words.items():
+            for p in zip(w, w[1:]):
+                count[p] = count.get(p, 0) + n
+        got = lm.settled_merges(sorted(((*p, n) for p, n in count.items() if n >= lm.LEAST_COUNT), key=lambda r: (-r[2], r[0], r[1])))
+        assert got == plain(words, 10**6)[: len(got)]
