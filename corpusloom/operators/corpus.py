@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.lexicon import normalise
 from corpusloom.functions.prefix import running_sum
 from corpusloom.functions.text import strip
 
@@ -18,11 +21,28 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"\R")
 
 
-def pieces(df: DataFrame, order: str, text: str, source: str) -> DataFrame:
+def pieces(df: DataFrame, order: str, text: str, source: str, least: int = LEAST_PIECE) -> DataFrame:
     """``source, order, li, pi, piece``: the parts between slashes of every line, of two characters or more."""
     each = df.select(F.col(source).alias("source"), F.col(order), F.posexplode(lines(F.col(text))).alias("li", "line"))
     parts = each.select("source", order, "li", F.posexplode(F.split("line", "/")).alias("pi", "piece")).withColumn("piece", strip(F.col("piece")))
-    return parts.filter(F.length("piece") >= LEAST_PIECE)
+    return parts.filter(F.length("piece") >= least)
+
+
+def build(tracks: dict[str, tuple[DataFrame, str, str, str]], variants: dict[str, str] | None = None) -> DataFrame:
+    """``piece, track, source, row, li, pi``: the distinct pieces of all tracks as the convention has them, each where it came first.
+
+    ``tracks`` are, in their order, a table and its columns of order, text and source. Pieces that differ
+    only in spelling or signs are one; those that are the same as written meet before they are normalised.
+    """
+    place = ["ord", "row", "li", "pi", "source"]
+    each = [
+        pieces(df, order, text, source, least=1).select("piece", F.lit(j).alias("ord"), F.lit(name).alias("track"), "source", F.col(order).cast("long").alias("row"), "li", "pi")
+        for j, (name, (df, order, text, source)) in enumerate(tracks.items())
+    ]
+    raw = first_wins(reduce(DataFrame.unionByName, each), "piece", place)
+    done = raw.withColumn("piece", normalise(F.col("piece"), variants)["text"]).withColumn("size", F.length("piece"))
+    # The size is read after grouping: a filter on the piece would be pushed below both and normalise twice.
+    return first_wins(done, "piece", place).filter(F.col("size") >= LEAST_PIECE).drop("ord", "size")
 
 
 def first_wins(df: DataFrame, value: str, order: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicon, script
 from corpusloom.operators import align, corpus, desk, ingest, lm
-from corpusloom.session import table
+from corpusloom.session import checkpoint, table
 from corpusloom.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,27 @@ def corpus_source_counts(s, d):
     return _pieces(s, d).groupBy("source").agg(F.count("*").alias("n_lines"))
 
 
+def _kutchi(s, d):
+    said = _verified(s, d).filter("status = 'verified'")
+    tracks = {"verified": (said, "row_no", "transcript", "source_id"), "phrasebook": (table(s, d, "phrasebook"), "id", "kutchi_guj", "video_id"), "documents": (_docs(s, d), "doc_id", "text", "source")}
+    return corpus.build(tracks, VARIANTS)
+
+
+def kutchi_corpus_lines(s, d):
+    """Distinct normalised pieces of transcripts, phrases and documents, each where it came first."""
+    return _kutchi(s, d).select("track", "row", "li", "pi", "piece")
+
+
+def kutchi_corpus_stats(s, d):
+    """Lines and characters of that corpus."""
+    return corpus.corpus_stats(_kutchi(s, d), "piece")
+
+
+def kutchi_corpus_source_counts(s, d):
+    """Pieces kept per track and source."""
+    return _kutchi(s, d).groupBy("track", "source").agg(F.count("*").alias("n_lines"))
+
+
 def byte_budget_docs(s, d):
     """Documents until the budget of bytes is reached."""
     return corpus.byte_budget(_docs(s, d), "doc_id", "text", BYTE_BUDGET).select("doc_id", "n_bytes", F.col("before").cast("long").alias("before"))
@@ -173,7 +194,7 @@ def bpe_pairs(s, d):
 
 
 def _merges(s, d):
-    return lm.train_merges(lm.word_counts(_verified(s, d), "transcript"), VOCABULARY)
+    return lm.train_merges(lm.word_counts(_kutchi(s, d), "piece"), VOCABULARY)
 
 
 def bpe_train(s, d):
@@ -182,9 +203,9 @@ def bpe_train(s, d):
 
 
 def chars_per_token(s, d):
-    """How finely the merges cut the transcripts, and whether they can be put together again."""
-    v = _verified(s, d)
-    return lm.fragmentation(lm.encode_merges(v, "row_no", "transcript", _merges(s, d)), v, "row_no", "transcript")
+    """How finely the merges cut the corpus, and whether its pieces can be put together again."""
+    k = checkpoint(_kutchi(s, d).select(F.xxhash64("track", "row", "li", "pi", "piece").alias("line"), "piece"))
+    return lm.fragmentation(lm.encode_merges(k, "line", "piece", lm.train_merges(lm.word_counts(k, "piece"), VOCABULARY)), k, "line", "piece")
 
 
 def top_k_candidates(s, d):
@@ -370,7 +391,7 @@ FROM (SELECT source_url, regexp_extract(source_url, '(?:v=|youtu\.be/)([\w-]{11}
 def queries() -> dict[str, Query]:
     own = [
         normalize_text, lexicon_audit, variant_fold, roman_lookup, dev_to_guj_ingest, dev_to_guj_text, dev_to_guj_lexicon, guj_to_roman, slugs, line_scripts, script_profile, skeletons_gujarati,
-        skeletons_roman, auto_roman, corpus_lines, corpus_stats, corpus_source_counts, byte_budget_docs, char_vocab, char_encode, train_val_split, token_windows, lr_schedule, bpe_pairs, bpe_train,
+        skeletons_roman, auto_roman, corpus_lines, corpus_stats, corpus_source_counts, kutchi_corpus_lines, kutchi_corpus_stats, kutchi_corpus_source_counts, byte_budget_docs, char_vocab, char_encode, train_val_split, token_windows, lr_schedule, bpe_pairs, bpe_train,
         chars_per_token, top_k_candidates, html_extract, html_links, url_hosts, url_ids, link_kinds, prompt_ids, card_ids, page_plan,
     ]
     return {q.__name__: q for q in own}

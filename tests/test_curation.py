@@ -245,3 +245,19 @@ def test_merges_of_all_words(spark):
                 count[p] = count.get(p, 0) + n
         got = lm.settled_merges(sorted(((*p, n) for p, n in count.items() if n >= lm.LEAST_COUNT), key=lambda r: (-r[2], r[0], r[1])))
         assert got == plain(words, 10**6)[: len(got)]
+
+
+def test_corpus_of_all_tracks(spark, tmp_path):
+    from corpusloom.plans import text_queries
+
+    tables = {
+        "verified": spark.createDataFrame([(0, "s", "આવો, ઘરે", "verified"), (1, "s", "ના", "pending"), (2, "s", None, "verified")], "row_no long, source_id string, transcript string, status string"),
+        "phrasebook": spark.createDataFrame([(1, "v", "આવો ઘરે / તું"), (2, "v", None)], "id int, video_id string, kutchi_guj string"),
+        "documents": spark.createDataFrame([(0, "d", "તૂ!\nઆવો - ઘરે\nના ના\nક"), (1, "d", "ના, ના")], "doc_id long, source string, text string"),
+    }
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in text_queries.kutchi_corpus_lines(spark, str(tmp_path)).collect()}
+    assert got == {("verified", 0, 0, 0, "આવો ઘરે"), ("phrasebook", 1, 0, 1, "તૂ"), ("documents", 0, 2, 0, "ના ના")}
+    assert tuple(text_queries.kutchi_corpus_stats(spark, str(tmp_path)).first()) == (3, 17)
+    assert {tuple(r) for r in text_queries.kutchi_corpus_source_counts(spark, str(tmp_path)).collect()} == {("verified", "s", 1), ("phrasebook", "v", 1), ("documents", "d", 1)}
