@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.lexicon import normalise
 from corpusloom.functions.text import filled
+from corpusloom.operators.graph import components
+from corpusloom.session import checkpoint
 
 # The tiers from most to least trusted, and the prefix of recordings that need no link.
 TIERS = ("human", "machine-card", "machine-consensus")
@@ -77,25 +79,26 @@ def dedup_tiered(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def dedup_sequential(df: DataFrame, order: str) -> DataFrame:
-    """``order, id`` of the rows that a pass in order keeps, row by row, per source. Needs ``tier``.
+    """``order, id`` of the rows that a pass in order keeps, row by row. Needs ``tier``.
 
     A row takes the slots of its id and of its span if it strictly outranks whoever holds them, and is
-    kept if it holds both in the end. This depends on the order, unlike :func:`dedup_tiered`; an
-    id is taken to be of one source.
+    kept if it holds both in the end. This depends on the order, unlike :func:`dedup_tiered`. The pass is
+    made per connected component of slots, so an id that several sources share is one slot. Rows without an id share one.
     """
-    slim = df.select(F.col(order).alias("o"), "id", F.coalesce("source_id", F.lit("")).alias("source"), *[k.alias(n) for k, n in zip(span_keys()[1:], ("s", "e"))], rank(F.col("tier")).alias("rank"))
+    id_slot, span_slot = F.xxhash64(F.lit("id"), F.col("id").isNull(), "id"), F.xxhash64(F.lit("span"), *span_keys())
+    slim = checkpoint(df.select(F.col(order).alias("o"), "id", id_slot.alias("i"), span_slot.alias("p"), rank(F.col("tier")).alias("rank")))
+    group = components(slim.select("i", "p").distinct(), "i", "p")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        holders: dict[tuple, tuple[int, int]] = {}
-        rows = list(pdf.sort_values("o")[["o", "id", "s", "e", "rank"]].itertuples(index=False))
+        holders: dict[int, tuple[int, int]] = {}
+        rows = list(pdf.sort_values("o")[["o", "id", "i", "p", "rank"]].itertuples(index=False))
         for r in rows:
-            slots = (("id", r.id), ("span", r.s, r.e))
-            if all(k not in holders or r.rank < holders[k][0] for k in slots):
-                holders |= {k: (r.rank, r.o) for k in slots}
-        kept = [(r.o, r.id) for r in rows if holders.get(("id", r.id), (0, None))[1] == r.o == holders.get(("span", r.s, r.e), (0, None))[1]]
+            if all(k not in holders or r.rank < holders[k][0] for k in (r.i, r.p)):
+                holders |= {k: (r.rank, r.o) for k in (r.i, r.p)}
+        kept = [(r.o, r.id) for r in rows if holders.get(r.i, (0, None))[1] == r.o == holders.get(r.p, (0, None))[1]]
         return pd.DataFrame({order: [o for o, _ in kept], "id": [i for _, i in kept]})
 
-    return slim.groupBy("source").applyInPandas(fold, f"{order} long, id string")
+    return slim.join(group.withColumnRenamed("node", "i"), "i").groupBy("component").applyInPandas(fold, f"{order} long, id string")
 
 
 def minutes(duration: str = "duration") -> Column:

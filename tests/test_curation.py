@@ -261,3 +261,11 @@ def test_corpus_of_all_tracks(spark, tmp_path):
     assert got == {("verified", 0, 0, 0, "આવો ઘરે"), ("phrasebook", 1, 0, 1, "તૂ"), ("documents", 0, 2, 0, "ના ના")}
     assert tuple(text_queries.kutchi_corpus_stats(spark, str(tmp_path)).first()) == (3, 17)
     assert {tuple(r) for r in text_queries.kutchi_corpus_source_counts(spark, str(tmp_path)).collect()} == {("verified", "s", 1), ("phrasebook", "v", 1), ("documents", "d", 1)}
+
+
+def test_sequential_dedup_across_spellings_of_a_source(spark):
+    rows = [(0, "p", "Evening", 1.0, 2.0, "machine-card"), (1, "p", "evening", 1.0, 2.0, "machine-consensus"), (2, "q", "evening", 1.0, 2.0, "human"), (3, None, "a", 0.0, 1.0, "human"), (4, None, "b", 0.0, 1.0, "human")]
+    d = spark.createDataFrame(rows, ROW)
+    assert {r["o"] for r in curate.dedup_sequential(d, "o").collect()} == {0, 2, 3}
+    late = spark.createDataFrame([(0, "p", "evening", 1.0, 2.0, "machine-consensus"), (1, "p", "Evening", 1.0, 2.0, "machine-card")], ROW)
+    assert {r["o"] for r in curate.dedup_sequential(late, "o").collect()} == {1}
