@@ -1,14 +1,15 @@
-"""Subject areas of documents: labels spread over the graph of documents and the terms they share.
+"""Subject areas of documents: labels propagated over the graph of similar documents.
 
-Two documents are similar by the terms they share, so the graph is kept as edges of documents and
-terms; a step from documents to terms and back is a step over all similar pairs without listing
-them. Copies of a text are one document until the end, where each gets what the text has. Term
+Two documents are similar by the verified terms they share, so the graph is kept in factors, as
+edges of documents and terms: a step from documents to terms and back is a step over every similar
+pair without listing them (documents of one subject share terms, so pairs grow with the square).
+Copies of a text are one document until the end, where each gets what the text has. Term
 statistics cover all texts; a term is verified if it occurs in enough of them and isn't shown by
-the labelled ones to be common to all subjects, however frequent it is. Labels go from the
-hand-labelled seeds to terms and from terms to documents by joins, again and again; seeds stay
-clamped as long as their own terms don't contradict them, and a document may keep several subjects.
-At the end each sentence is about the subjects of its terms, and a document about those of a fifth
-of its sentences.
+the labelled ones to be common to all subjects, however frequent it is. A seed is trusted unless
+the terms it shares with the other seeds contradict it; trusted seeds are clamped throughout. Labels go out
+from them by joins, round by round, until they settle; a document may have several. What it has
+then is checked exactly: a document is about a subject that it was given if a fifth of its
+sentences are.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ LEAST_DOCS, MOST_DOCS = 3, 0.10
 SEEN, COMMON = 8, 0.25
 #: Part of a term's labels that must be of one subject for it to carry that subject on; and the weight of no label at all.
 PURE, DOUBT = 0.5, 3.0
+#: The part of a document's propagated labels that a subject must have to be checked in its sentences.
+KEPT = 0.05
+#: The part of all labels that a round may still move once they have settled.
+SETTLED = 0.002
 #: A term between two subjects is read by its document if both together have this part of its labels, and each this one.
 BETWEEN, EITHER = 0.7, 0.2
-ROUNDS = 3
 #: Words after which a run of text without sentence marks counts as a further sentence.
 LONGEST = 28
 LEAST_SHARE = 0.2
@@ -148,7 +152,13 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return by.join(whole, "term").select("term", "subject", (F.col("w") / (F.col("all") + DOUBT)).alias("part"))
 
 
-def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def _scores(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``d, subject, w``: the part of each subject in the labels that a document's terms carry to it."""
+    by = pairs.join(terms.filter(F.col("part") >= PURE), "term").groupBy("d", "subject").agg(F.sum("part").alias("w"))
+    return by.withColumn("w", F.col("w") / F.sum("w").over(_by("d")))
+
+
+def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, subject, share``: every subject that LEAST_SHARE of a document's sentences are about.
 
     ``labels`` are ``doc_id, subject``; subjects that ``areas`` don't name (without blanks and
@@ -183,28 +193,32 @@ def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "
     edges = checkpoint(_edges(docs, verified))
     pairs = edges.select("d", "term").distinct()
 
-    now = seeds.withColumn("w", 1.0 / F.count("*").over(_by("d")))
-    for j in range(rounds):
+    even = lambda x: x.select("d", "subject", (1.0 / F.count("*").over(_by("d"))).alias("w"))
+    now, trusted, moved = even(seeds), None, None
+    while True:
         terms = checkpoint(_spread(pairs, now))
-        if j == rounds - 1:
+        scores = checkpoint(_scores(pairs, terms).filter(F.col("w") >= KEPT))
+        strong = scores.filter(F.col("w") >= LEAST_SHARE)
+        if trusted is None:
+            doubted = seeds.join(strong, ["d", "subject"], "left_anti").join(strong.select("d").distinct(), "d", "left_semi")
+            trusted = checkpoint(even(seeds.join(doubted, ["d", "subject"], "left_anti")))
+        then, now = now, trusted.unionByName(strong.join(trusted.select("d").distinct(), "d", "left_anti"))
+        sides = then.select("d", "subject", F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(now.select("d", "subject", F.lit(-1).alias("n"), F.lit(1).alias("m")))
+        change = sides.groupBy("d", "subject").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).agg(F.count_if(F.col("n") != 0).alias("moved"), F.coalesce(F.sum("m"), F.lit(0)).alias("labels")).first()
+        before, moved = moved, change["moved"]
+        # A round that doesn't move fewer labels than the one before is the last as well, so the rounds end.
+        if moved <= SETTLED * change["labels"] or (before is not None and moved >= before):
             break
-        carried = terms.filter(F.col("part") >= PURE)
-        scores = pairs.join(carried, "term").groupBy("d", "subject").agg(F.sum("part").alias("w"))
-        scores = scores.withColumn("w", F.col("w") / F.sum("w").over(_by("d"))).filter(F.col("w") >= LEAST_SHARE)
-        # A seed stays clamped unless its terms say something else; what isn't a seed has its own scores.
-        held = seeds.join(scores, ["d", "subject"], "left").join(scores.select("d", F.lit(1).alias("known")).distinct(), "d", "left")
-        held = held.filter(F.col("w").isNotNull() | F.col("known").isNull()).select("d", "subject").withColumn("w", 1.0 / F.count("*").over(_by("d")))
-        free = scores.join(held.select("d").distinct(), "d", "left_anti").select("d", "subject", "w")
-        now = checkpoint(held.unionByName(free))
-
-    # Each term of a document is read as one subject, by its own parts and the document's.
-    about = now.groupBy("d", "subject").agg(F.max("w").alias("own"))
+    now = checkpoint(trusted.unionByName(scores.join(trusted, ["d", "subject"], "left_anti")))
+
+    # Each term of a document is read as one subject, by its own parts and the document's; those that the document wasn't given count for none.
+    about = now.withColumnRenamed("w", "own")
     ranked = terms.groupBy("term").agg(F.sort_array(F.collect_list("part"), asc=False).alias("parts"))
     both = F.get("parts", F.lit(0)) + F.coalesce(F.get("parts", F.lit(1)), F.lit(0.0))
     narrow = terms.join(ranked.select("term", both.alias("both")), "term").filter((F.col("part") >= PURE) | ((F.col("both") >= BETWEEN) & (F.col("part") >= EITHER)))
     readings = pairs.join(narrow, "term").join(about, ["d", "subject"], "left")
     best = readings.groupBy("d", "term").agg(F.max_by(F.struct("subject", "part", "own"), F.struct(F.col("part") * (CONTEXT + F.coalesce("own", F.lit(0.0))), "part", "subject")).alias("r"))
-    clear = best.filter((F.col("r.part") >= PURE) | F.col("r.own").isNotNull()).select("d", "term", F.col("r.subject").alias("subject"))
+    clear = best.filter(F.col("r.own").isNotNull()).select("d", "term", F.col("r.subject").alias("subject"))
     held = edges.join(clear, ["d", "term"]).groupBy("d", "subject", "page").agg(F.bit_or("bits").alias("bits"), F.max("size").alias("size"))
     shares = held.groupBy("d", "subject").agg((F.sum(F.bit_count("bits")) / F.max("size")).alias("share"))
     found = shares.filter(F.col("share") >= LEAST_SHARE).select("d", "subject", "share")
