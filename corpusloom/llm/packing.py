@@ -12,6 +12,7 @@ opened again and their items packed anew in shards of the remaining items.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,52 +24,51 @@ from corpusloom.session import checkpoint
 SHARD_ITEMS = 20_000
 #: A bin filled less than this is opened again in the second round.
 FULL_ENOUGH = 0.97
-#: Share of the capacity within which a bin without the item's source is preferred to a tighter one.
-SLACK = 1 / 128
+
+
+def quotas(sizes: list[int], groups: list, capacity: int) -> dict:
+    """How many items of each group a bin may hold: as few as the group can be spread over the bins that are needed at least."""
+    bins = max(1, -(-sum(sizes) // capacity))
+    return {g: -(-n // bins) for g, n in Counter(groups).items() if g is not None}
 
 
 def best_fit(sizes: list[int], sources: list, copies: list, capacity: int) -> list[int]:
     """The bin of each item, for items in the order given (decreasing sizes fill best).
 
-    No bin exceeds the capacity or holds two items of one copy group (null: of none).
+    No bin exceeds the capacity, holds two items of one copy group, or holds more of one source than
+    its quota (:func:`quotas`): null is of no group and of no source.
     """
-    twice = {c for c, n in pd.Series(copies, dtype=object).value_counts().items() if n > 1}
+    twice = {c for c, n in Counter(copies).items() if n > 1 and c is not None}
     bit_of_copy = {c: 1 << j for j, c in enumerate(sorted(twice, key=str))}
-    bit_of_source: dict = {}
+    quota = quotas(sizes, sources, capacity)
+    bit_of_source = {s: 1 << j for j, s in enumerate(sorted(quota, key=str))}
+    held: Counter = Counter()
     #: By residual: the bins of each pair of bitmaps; and a number whose bit r tells that residual r has bins.
     shelves: list[dict] = [{} for _ in range(capacity + 1)]
-    stocked, n_bins, slack, out = 0, 0, int(capacity * SLACK), []
+    stocked, n_bins, out = 0, 0, []
     for size, source, copy in zip(sizes, sources, copies):
-        s, c = bit_of_source.setdefault(source, 1 << len(bit_of_source)), bit_of_copy.get(copy, 0)
-        found, rest = None, stocked >> size
-        r = size - 1
-        while rest:
+        s, c = bit_of_source.get(source, 0), bit_of_copy.get(copy, 0)
+        found, rest, r = None, stocked >> size, size - 1
+        while rest and not found:
             step = (rest & -rest).bit_length()
             r, rest = r + step, rest >> step
-            if found and r > size + slack:
-                break
-            for marks in shelves[r]:
-                if not marks[1] & c:
-                    if not marks[0] & s and r <= size + slack:
-                        found = (r, marks)
-                        rest = 0
-                        break
-                    found = found or (r, marks)
+            found = next((m for m in shelves[r] if not m[0] & s and not m[1] & c), None)
         if found:
-            r, marks = found
-            bins = shelves[r][marks]
+            bins = shelves[r][found]
             b = bins.pop()
             if not bins:
-                del shelves[r][marks]
+                del shelves[r][found]
                 if not shelves[r]:
                     stocked &= ~(1 << r)
-            marks = (marks[0] | s, marks[1] | c)
         else:
-            r, b, marks = capacity, n_bins, (s, c)
+            r, b, found = capacity, n_bins, (0, 0)
             n_bins += 1
+        if s:
+            held[b, source] += 1
+            s = s if held[b, source] >= quota[source] else 0
         left = r - size
         if left:
-            shelves[left].setdefault(marks, []).append(b)
+            shelves[left].setdefault((found[0] | s, found[1] | c), []).append(b)
             stocked |= 1 << left
         out.append(b)
     return out
@@ -81,7 +81,8 @@ def _round(items: DataFrame, name: str) -> DataFrame:
     def one(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
         copies = [None if pd.isna(c) else int(c) for c in pdf["copy_key"]]
-        bins = best_fit(pdf["n_tokens"].tolist(), pdf["source"].tolist(), copies, int(ids[1]))
+        sources = [None if pd.isna(s) else s for s in pdf["source"]]
+        bins = best_fit(pdf["n_tokens"].tolist(), sources, copies, int(ids[1]))
         pdf["bin"] = [f"{name}{ids[2]}-{b}" for b in bins]
         return pdf[[c.split()[0] for c in _PACKED.split(", ")]]
 
