@@ -134,8 +134,29 @@ def pack(docs: DataFrame, capacities: DataFrame, shard_items: int = SHARD_ITEMS)
     return full.select(columns).unionByName(kept.select(columns)).unionByName(again.select(columns)).withColumn("doc_id", F.col("doc_id").cast(id_kind))
 
 
-def fill_report(packed: DataFrame) -> DataFrame:
-    """``container, capacity, n_bins, n_pieces, n_tokens, fill``: how full the bins of each kind are."""
-    bins = packed.groupBy("container", "capacity", "bin").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("n"))
-    by = bins.groupBy("container", "capacity").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_pieces"), F.sum("held").alias("n_tokens"))
+def fill_report(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """How full the bins of each kind are, and how far their sources are spread.
+
+    ``container, capacity, n_bins, n_pieces, n_tokens, fill``, ``n_mixed``, the bins with pieces of
+    several documents, ``n_shared``, those in which a source has more than one, and
+    ``most_of_a_source``, the most that one bin has of one.
+    """
+    named = docs.select(F.col("doc_id"), key(F.col("source")).alias("source")).dropDuplicates(["doc_id"])
+    of_source = packed.join(named, "doc_id", "left").groupBy("container", "capacity", "bin", "source").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("n"))
+    bins = of_source.groupBy("container", "capacity", "bin").agg(F.sum("held").alias("held"), F.sum("n").alias("n"), F.max(F.when(F.col("source").isNotNull(), F.col("n"))).alias("most"))
+    by = bins.groupBy("container", "capacity").agg(
+        F.count("*").alias("n_bins"), F.sum("n").alias("n_pieces"), F.sum("held").alias("n_tokens"), F.count_if(F.col("n") > 1).alias("n_mixed"), F.count_if(F.col("most") > 1).alias("n_shared"), F.max("most").alias("most_of_a_source")
+    )
     return by.withColumn("fill", F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")))
+
+
+def kept_promises(docs: DataFrame, capacities: DataFrame, packed: DataFrame) -> DataFrame:
+    """``container, n_docs, whole, within_capacity, cut_if_long, copies_apart``: what :func:`pack` promises, per kind of container."""
+    sizes = docs.filter("n_tokens > 0").select("doc_id", F.col("n_tokens").alias("size"), "copy_key")
+    bins = packed.groupBy("container", "capacity", "bin").agg(F.sum("n_tokens").alias("held")).groupBy("container").agg(F.max(F.col("held") > F.col("capacity")).alias("overfull"))
+    each = packed.groupBy("container", "capacity", "doc_id").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end")).join(sizes, "doc_id", "right")
+    docwise = each.groupBy("container").agg(
+        F.count("*").alias("n_docs"), F.min((F.col("held") == F.col("size")) & (F.col("end") == F.col("size"))).alias("whole"), F.min(F.col("pieces") == F.ceil(F.col("size") / F.col("capacity"))).alias("cut_if_long")
+    )
+    copies = packed.join(sizes.filter("copy_key IS NOT NULL"), "doc_id").groupBy("container", "bin", "copy_key").agg(F.count("*").alias("n")).groupBy("container").agg(F.max("n").alias("n"))
+    return docwise.join(bins, "container").join(copies, "container").select("container", "n_docs", "whole", (~F.col("overfull")).alias("within_capacity"), "cut_if_long", (F.col("n") == 1).alias("copies_apart"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import key
 from corpusloom.llm import language, mixing, overlap, packing, sampling, splits, subjects, survivors, tokens
 from corpusloom.session import checkpoint, table
 
@@ -18,6 +19,14 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign(table(spark, sf_dir, "verified"), table(spark, sf_dir, "split_targets"))
 
 
+def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of splits that each source's rows are in: one."""
+    verified = table(spark, sf_dir, "verified")
+    split = splits.assign(verified, table(spark, sf_dir, "split_targets"))
+    named = verified.select("row_no", key(F.col("source_id")).alias("source_id")).filter("source_id IS NOT NULL")
+    return named.join(split, "row_no").groupBy("source_id").agg(F.count("*").alias("n_rows"), F.countDistinct("split").alias("n_splits"))
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, components and shares of each split."""
     verified, targets = table(spark, sf_dir, "verified"), table(spark, sf_dir, "split_targets")
@@ -59,13 +68,13 @@ def p6_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About a tenth of the ids of verified, with all their rows."""
+    """13 of every 128 ids of verified in the order of their first rows, with all their rows."""
     return sampling.sample(table(spark, sf_dir, "verified"), "id").select("row_no", "id", "source_id", "sample_number", "sample_block")
 
 
 def p6_sample_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About a quarter of the sources of verified, with all their rows."""
-    return sampling.sample(table(spark, sf_dir, "verified"), "source_id", take=32).select("row_no", "id", "source_id", "sample_number", "sample_block")
+    """4 of every 16 sources of verified in the order of their first rows, with all their rows."""
+    return sampling.sample(table(spark, sf_dir, "verified"), "source_id", take=4, block=16).select("row_no", "id", "source_id", "sample_number", "sample_block")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +93,16 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, table(spark, sf_dir, "pack_sizes"))
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of container: whether every document is in it as a whole, no bin is overfull and only long documents are cut."""
+    docs, sizes = checkpoint(tokens.sized(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "pack_sizes")
+    return packing.kept_promises(docs, sizes, packing.pack(docs, sizes))
+
+
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers of each kind are."""
-    return packing.fill_report(p8_packed(spark, sf_dir))
+    """How full the containers of each kind are, and how far sources are spread over them."""
+    docs = checkpoint(tokens.sized(table(spark, sf_dir, "documents")))
+    return packing.fill_report(packing.pack(docs, table(spark, sf_dir, "pack_sizes")), docs)
 
 
 def _mix(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
@@ -109,6 +125,16 @@ def p9_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(*_mix(spark, sf_dir))
 
 
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source keeps to its repeats and reaches its planned tokens up to one document, in either mixture."""
+    docs = checkpoint(tokens.sized(table(spark, sf_dir, "documents")))
+    kept = None
+    for fill in (True, False):
+        k = mixing.kept_promises(docs, *mixing.mix(docs, table(spark, sf_dir, "mix_targets"), fill=fill)).withColumn("filled", F.lit(fill))
+        kept = k if kept is None else kept.unionByName(k)
+    return kept
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
 
@@ -144,28 +170,39 @@ WITH RECURSIVE rows AS (
 ) SELECT row_no, best_row_no FROM best WHERE k = 1"""
 
 
-def _p6_sql(number: str, take: int) -> str:
+def _p6_sql(numbered: str, take: int, block: int = 128) -> str:
     return f"""
-WITH numbered AS (SELECT row_no, id, source_id, {number} AS sample_number FROM verified),
-blocked AS (SELECT *, sample_number // 128 AS sample_block, md5('sample-1:' || (sample_number // 128)) AS h FROM numbered WHERE sample_number >= 0),
-placed AS (SELECT *, ((sample_number % 128) * ((CAST('0x' || substr(h, 1, 6) AS BIGINT) * 2 + 1) % 128) + CAST('0x' || substr(h, 8, 6) AS BIGINT)) % 128 AS place FROM blocked)
+WITH {numbered},
+blocked AS (SELECT *, sample_number // {block} AS sample_block, md5('sample-1:' || (sample_number // {block})) AS h FROM numbered WHERE sample_number >= 0),
+placed AS (SELECT *, ((sample_number % {block}) * ((CAST('0x' || substr(h, 1, 6) AS BIGINT) * 2 + 1) % {block}) + CAST('0x' || substr(h, 8, 6) AS BIGINT)) % {block} AS place FROM blocked)
 SELECT row_no, id, source_id, sample_number, sample_block FROM placed WHERE place < {take}"""
 
 
-def _digest(column: str) -> str:
-    return f"CAST('0x' || substr(md5(nullif(lower(trim({column}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), '')), 1, 13) AS BIGINT)"
+_P6_ROWS = "numbered AS (SELECT row_no, id, source_id, row_no AS sample_number FROM verified)"
+
+
+def _p6_keys(column: str) -> str:
+    unit = f"nullif(lower(trim({column}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), '')"
+    return f"""keyed AS (SELECT row_no, id, source_id, {unit} AS unit FROM verified),
+register AS (SELECT unit, row_number() OVER (ORDER BY min(row_no), unit) - 1 AS sample_number FROM keyed WHERE unit IS NOT NULL GROUP BY unit),
+numbered AS (SELECT row_no, id, source_id, sample_number FROM keyed JOIN register USING (unit))"""
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_splits, p1_report, p4_found, p4_survivors, p5_found, p5_languages, p5_segments, p6_sample_rows, p6_sample_ids, p6_sample_sources]
-    own += [p7_found, p7_report, p8_packed, p8_fill, p9_mix, p9_shares, p9_shares_exact, p10_found, p10_composition]
+    own = [p1_splits, p1_kept, p1_report, p4_found, p4_survivors, p5_found, p5_languages, p5_segments, p6_sample_rows, p6_sample_ids, p6_sample_sources]
+    own += [p7_found, p7_report, p8_packed, p8_kept, p8_fill, p9_mix, p9_shares, p9_shares_exact, p9_kept, p10_found, p10_composition]
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_kept": """
+SELECT lower(trim(source_id, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS source_id, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_splits FROM verified
+WHERE trim(source_id, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) <> '' GROUP BY 1""",
         "p4_found": _P4_FOUND,
-        "p6_sample_rows": _p6_sql("row_no", 13),
-        "p6_sample_ids": _p6_sql(_digest("id"), 13),
-        "p6_sample_sources": _p6_sql(_digest("source_id"), 32),
+        "p6_sample_rows": _p6_sql(_P6_ROWS, 13),
+        "p6_sample_ids": _p6_sql(_p6_keys("id"), 13),
+        "p6_sample_sources": _p6_sql(_p6_keys("source_id"), 4, 16),
+        "p8_kept": "SELECT name AS container, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, TRUE AS whole, TRUE AS within_capacity, TRUE AS cut_if_long, TRUE AS copies_apart FROM pack_sizes",
+        "p9_kept": "SELECT lower(source) AS source, TRUE AS within_repeats, TRUE AS within_one_document, filled FROM mix_targets, (SELECT unnest([TRUE, FALSE]) AS filled)",
     }

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -153,11 +154,28 @@ def test_sample_is_stable_and_exact(spark):
     assert whole <= {r["row_no"] for r in sampling.sample(d, "row_no", take=20).collect()}
     ids = sampling.sample(d.unionByName(d.limit(3)), "id")
     chosen = {r["id"] for r in ids.collect()}
-    assert ids.filter(F.col("id").isin(*chosen)).count() == d.unionByName(d.limit(3)).filter(F.col("id").isin(*chosen)).count() and 20 < len(chosen) < 90
+    assert ids.filter(F.col("id").isin(*chosen)).count() == d.unionByName(d.limit(3)).filter(F.col("id").isin(*chosen)).count() and 39 <= len(chosen) <= 52
     odd = spark.createDataFrame([(None, None), (-1, " ")], "row_no long, id string")
     assert sampling.sample(odd, "row_no").count() == sampling.sample(odd, "id").count() == sampling.sample(odd.limit(0), "id").count() == 0
 
 
+def test_register_only_appends(spark):
+    rng = random.Random(8)
+    rows = [(j, rng.choice([None, " ", *(f" K{rng.randint(0, 900)} ", f"k{rng.randint(0, 900)}")])) for j in range(0, 40_000, 13)]
+    d = spark.createDataFrame(rows, "row_no long, id string")
+    numbers = lambda df: {r["unit_key"]: r["sample_number"] for r in df.collect()}
+    first = sampling.registered(d.filter("row_no < 9000"), "id")
+    early, whole = numbers(first), numbers(sampling.registered(d.repartition(7), "id"))
+    assert sorted(whole.values()) == list(range(len(whole))) and early.items() <= whole.items()
+    assert numbers(sampling.registered(d.filter("row_no >= 9000"), "id", register=first)) == whole == numbers(sampling.registered(d, "id", register=first))
+    late = spark.createDataFrame([(-5, "late"), (-4, "k1")], "row_no long, id string")
+    assert numbers(sampling.registered(late, "id", register=sampling.registered(d, "id"))) == whole | {"late": len(whole)}
+    some = {r["id"].strip().lower() for r in sampling.sample(d.filter("row_no < 9000"), "id").collect()}
+    every = {r["id"].strip().lower() for r in sampling.sample(d, "id").collect()}
+    assert some <= every and all(sum(whole[k] // 128 == block for k in every) == 13 for block in range(len(whole) // 128))
+    assert sampling.registered(d.limit(0), "id").count() == 0 and numbers(sampling.registered(d.limit(0), "id", register=first)) == early
+
+
 # ---- overlap ----
 
 
@@ -241,9 +259,34 @@ def test_packing_is_whole_and_within_capacity(spark):
 def test_best_fit_takes_the_tightest():
     assert packing.best_fit([60, 50, 40, 30], ["a", "b", "c", "d"], [None] * 4, 100) == [0, 1, 0, 1]
     assert len(set(packing.best_fit([10] * 5, ["a"] * 5, [1] * 5, 100))) == 5
+    rng = random.Random(5)
+    sizes, sources = sorted((rng.randint(1, 90) for _ in range(400)), reverse=True), [rng.choice("aaab" + "cdefghij") for _ in range(400)]
+    quota, bins = packing.quotas(sizes, sources, 100), packing.best_fit(sizes, sources, [None] * 400, 100)
+    assert all(n <= quota[s] for (_, s), n in Counter(zip(bins, sources)).items())
     assert packing.best_fit([], [], [], 100) == []
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_due_copies_fall_short_by_less_than_a_copy(seed):
+    rng = random.Random(seed)
+    for _ in range(500):
+        lengths = sorted(rng.sample(range(1, 5000), rng.randint(1, 12)), reverse=True)
+        counts, most = [rng.randint(1, 5) for _ in lengths], rng.randint(1, 4)
+        copies = rng.random() * most
+        due = mixing.due_copies(lengths, counts, copies, most, rng.random())
+        open_ = round(copies * sum(n * k for n, k in zip(lengths, counts))) - sum(n * d for n, d in zip(lengths, due))
+        spare = [n for n, k, d in zip(lengths, counts, due) if d < most * k]
+        assert all(0 <= d <= most * k for d, k in zip(due, counts)) and 0 <= open_ < min(spare, default=open_ + 1)
+
+
+def test_mixing_of_copies_in_one_cell(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 40)
+    d = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(7).alias("n_tokens"))
+    t = spark.createDataFrame([("A", 1.0, 3)], "source string, share double, max_repeats int")
+    mixed, plan = mixing.mix(d, t, total=7.0 * 1234)
+    assert mixed.count() == 1234 and {r["n"] for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {1, 2}
+
+
 def test_mixing_shares_and_caps(spark):
     rng = random.Random(4)
     docs = [(j, s, rng.randint(1, 300)) for j in range(3000) for s in [rng.choice(["a", "a", "a", "B ", "c", None, "other"])]] + [(9000, "tiny", 50), (9001, "a", 0)]
@@ -251,6 +294,7 @@ def test_mixing_shares_and_caps(spark):
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.15, 4), ("tiny", 0.05, 3), ("gone", None, 2), ("nothing", 0.1, 2)], "source string, share double, max_repeats int")
     for fill in (True, False):
         mixed, plan = mixing.mix(d, t, fill=fill)
+        assert all(r["within_repeats"] and r["within_one_document"] for r in mixing.kept_promises(d, mixed, plan).collect())
         rep = {r["source"]: r for r in mixing.report(mixed, plan).collect()}
         assert all((r["most_repeats"] or 0) <= r["max_repeats"] for r in rep.values())
         assert rep["gone"]["tokens"] == rep["nothing"]["tokens"] == 0
