@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.lexicon import normalise
 from corpusloom.functions.metrics import matching_ratio
 from corpusloom.functions.script import skeleton, skeleton_gujarati, skeleton_roman
 from corpusloom.functions.text import strip
+from corpusloom.operators.consensus import REFUSED
 from corpusloom.operators.segments import padded
 
 # Similarity, repetitions per phrase, bounds on a phrase's skeleton and on an aligned clip's seconds.
 THRESHOLD, MOST_REPETITIONS = 0.75, 4
-LEAST_SKELETON, ROMAN_RATIO = 4, 1.4
+LEAST_SKELETON, ROMAN_RATIO, SPAN_RATIO = 4, 1.4, 2.0
 LEAST_SECONDS, MOST_SECONDS = 0.5, 15.0
+#: Words of a video that are worked on together.
+STRETCH = 2048
 
 
 def alternates(field: Column) -> Column:
@@ -23,20 +27,26 @@ def alternates(field: Column) -> Column:
 
 
 def variants(phrases: DataFrame) -> DataFrame:
-    """``id, video_id, vi, guj, roman, skel``: each alternate with the roman of its place, else the first, else none."""
+    """``id, video_id, vi, guj, roman``: each alternate with the roman of its place, else the first, else none."""
     roman = alternates(F.col("kutchi_roman"))
     p = phrases.select("id", "video_id", roman.alias("rom"), F.posexplode(alternates(F.col("kutchi_guj"))).alias("vi", "guj"))
     p = p.withColumn("roman", F.coalesce(F.get("rom", F.col("vi")), F.get("rom", F.lit(0)), F.lit("")))
-    g, r = skeleton_gujarati(F.col("guj")), skeleton_roman(F.col("roman"))
-    return p.select("id", "video_id", "vi", "guj", "roman", F.when(F.length(r) > F.length(g), r).otherwise(g).alias("skel"))
+    return p.select("id", "video_id", "vi", "guj", "roman")
 
 
-def phrase_faults(phrases: DataFrame) -> DataFrame:
-    """``id, fault``: phrases that can't be aligned: without Gujarati, with too short a skeleton, or a roman far longer than it."""
-    v = variants(phrases).groupBy("id").agg(F.max(F.length("skel")).alias("longest"), F.max(F.length(skeleton_gujarati(F.col("guj")))).alias("g"), F.max(F.length(skeleton_roman(F.col("roman")))).alias("r"))
-    d = phrases.select("id").distinct().join(v, "id", "left")
-    fault = F.when(F.col("longest").isNull(), "no-text").when(F.col("longest") < LEAST_SKELETON, "too-short").when(F.col("r") > ROMAN_RATIO * F.col("g"), "roman-too-long")
-    return d.select("id", fault.alias("fault")).filter(F.col("fault").isNotNull())
+def probes(phrases: DataFrame) -> DataFrame:
+    """``id, video_id, vi, guj, roman, k, skel``: the skeletons by which an alternate is looked for.
+
+    The Gujarati one if it is long enough, and the roman one if it is and isn't far longer than the
+    Gujarati, so that both stand for the same phrase. ``k`` numbers a phrase's skeletons in order.
+    """
+    g, r = skeleton_gujarati(F.col("guj")), skeleton_roman(F.col("roman"))
+    v = variants(phrases).withColumns({"g": g, "r": r})
+    of_guj = F.when(F.length("g") >= LEAST_SKELETON, F.struct(F.lit(0).alias("second"), F.col("g").alias("skel")))
+    of_roman = F.when((F.length("r") >= LEAST_SKELETON) & (F.col("g") != "") & (F.length("r") <= ROMAN_RATIO * F.length("g")), F.struct(F.lit(1).alias("second"), F.col("r").alias("skel")))
+    d = v.select("id", "video_id", "vi", "guj", "roman", F.explode(F.array_compact(F.array(of_guj, of_roman))).alias("p")).select("id", "video_id", "vi", "guj", "roman", "p.*")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("vi", "second")) - 1
+    return d.withColumn("k", place).drop("second")
 
 
 def spans(words: DataFrame, most: int) -> DataFrame:
@@ -45,47 +55,85 @@ def spans(words: DataFrame, most: int) -> DataFrame:
     A run ends before its skeleton exceeds 1.8 times the longest phrase, ``most``, plus 3 letters. Words
     without a skeleton add nothing: of the runs that differ by them alone the one that begins with
     a letter and takes in what follows would be picked, so only that is built. So a run has as many words
-    as letters at most, and is a window of bounded length over the words of a video.
+    as letters at most. The words of a video are numbered in stretches of positions and cut into
+    stretches of STRETCH words, each of which takes along the words that its last runs may need, so a
+    video of any length is no single task.
     """
     longest = int(1.8 * most + 3)
-    by = Window.partitionBy("video_id").orderBy("pos")
-    d = words.select("video_id", "pos", skeleton(F.col("w")).alias("s")).withColumn("end", F.max("pos").over(Window.partitionBy("video_id")) + 1)
-    d = d.filter("s <> ''").withColumns({"upto": F.coalesce(F.lead("pos").over(by), "end"), "past": F.sum(F.length("s")).over(by)})
+    size = max(STRETCH, longest)
+    d = words.select("video_id", "pos", skeleton(F.col("w")).alias("s"))
+    ends = d.groupBy("video_id").agg((F.max("pos") + 1).alias("end"))
+    d = d.filter("s <> ''").withColumn("page", F.floor(F.col("pos") / STRETCH))
+    held = d.groupBy("video_id", "page").agg(F.count("*").alias("n"))
+    starts = held.select("video_id", "page", F.coalesce(F.sum("n").over(Window.partitionBy("video_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("video_id", "page").orderBy("pos")) - 1
+    d = d.withColumn("m", inside).join(starts, ["video_id", "page"]).withColumn("m", F.col("start") + F.col("m")).join(ends, "video_id")
+    own = F.floor(F.col("m") / size)
+    to = F.when((own > 0) & (F.col("m") % size < longest), F.array(own, own - 1)).otherwise(F.array(own))
+    d = d.withColumns({"own": own, "part": F.explode(to)})
+    by = Window.partitionBy("video_id", "part").orderBy("m")
+    d = d.withColumns({"upto": F.coalesce(F.lead("pos").over(by), "end"), "past": F.sum(F.length("s")).over(by)})
     d = d.withColumn("before", F.col("past") - F.length("s"))
-    ahead = F.collect_list(F.struct("s", "upto", "past")).over(Window.partitionBy("video_id").orderBy("before").rangeBetween(0, longest))
-    d = d.select("video_id", F.col("pos").alias("i"), "before", ahead.alias("ahead"))
+    ahead = F.collect_list(F.struct("s", "upto", "past")).over(Window.partitionBy("video_id", "part").orderBy("before").rangeBetween(0, longest))
+    d = d.select("video_id", F.col("pos").alias("i"), "own", "part", "before", ahead.alias("ahead")).filter("own = part")
     d = d.select("video_id", "i", "before", F.array_join("ahead.s", "").alias("t"), F.explode(F.arrays_zip("ahead.upto", "ahead.past")).alias("x")).withColumn("n", (F.col("x.past") - F.col("before")).cast("int"))
     return d.filter(F.col("n") <= longest).select("video_id", F.col("i").cast("int").alias("i"), F.col("x.upto").cast("int").alias("j"), F.expr("substring(t, 1, n)").alias("span"))
 
 
 def matches(phrases: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``id, r, score, i, j, vi``: up to four spans per phrase that are similar enough and don't overlap, best first.
+    """``id, r, score, i, j, k, span``: up to four spans per phrase that are similar enough and don't overlap, best first.
 
     The similarity is taken of distinct pairs of skeletons only, after bounds that lose none: the
     length band, and that a ratio can't exceed twice the shorter length over both (and, in the
-    similarity itself, twice the letters in common). Of equal scores
-    the later start wins.
+    similarity itself, twice the letters in common). Of equal scores the later start wins, then the
+    longer run, then the later skeleton of the phrase.
     """
-    v = variants(phrases).withColumn("target", F.max(F.length("skel")).over(Window.partitionBy("id"))).filter(F.col("skel") != "")
+    v = probes(phrases).withColumn("target", F.max(F.length("skel")).over(Window.partitionBy("id")))
     most = v.agg(F.max("target")).first()[0] or 0
     n, target = F.length("span"), F.col("target")
     both, least = F.length("skel") + n, F.least(F.length("skel"), n)
     band = (n >= 0.5 * target) & (n <= 1.8 * target + 3) & (2 * least >= threshold * both - 1e-9)
     cand = v.join(spans(words, most), "video_id").filter(band)
     scored = cand.select("skel", "span").distinct().withColumn("score", matching_ratio(F.col("skel"), F.col("span"), threshold)).filter(F.col("score") >= threshold)
-    hits = cand.join(scored, ["skel", "span"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("score", "i", "j", "vi")), asc=False).alias("h"))
-    free = lambda kept, x: ~F.exists(kept, lambda k: (x["i"] < k["j"]) & (k["i"] < x["j"])) & (F.size(kept) < MOST_REPETITIONS)
-    empty = F.array().cast("array<struct<score:double,i:int,j:int,vi:int>>")
+    hits = cand.join(scored, ["skel", "span"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("score", "i", "j", "k", "span")), asc=False).alias("h"))
+    free = lambda kept, x: ~F.exists(kept, lambda m: (x["i"] < m["j"]) & (m["i"] < x["j"])) & (F.size(kept) < MOST_REPETITIONS)
+    empty = F.array().cast("array<struct<score:double,i:int,j:int,k:int,span:string>>")
     picked = F.aggregate("h", empty, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
     return hits.select("id", F.posexplode(picked).alias("p", "m")).select("id", (F.col("p") + 1).alias("r"), "m.*")
 
 
+def judged(found: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Matches with ``guj, roman, transcript, refused`` (the flags for which the text can't be a transcript, if any) and without spans far longer than the text."""
+    named = found.join(probes(phrases).select("id", "video_id", "k", "guj", "roman"), ["id", "k"])
+    n = named.filter(F.length("span") <= SPAN_RATIO * F.greatest(F.lit(1), F.length(skeleton_gujarati(F.col("guj"))))).withColumn("n", normalise(F.col("guj")))
+    refused = F.arrays_overlap("n.flags", F.array(*[F.lit(x) for x in REFUSED])) | (F.col("n.text") == "")
+    return n.withColumns({"transcript": F.col("n.text"), "refused": F.when(refused, F.array_join("n.flags", ","))}).drop("n")
+
+
+def report(found: DataFrame, phrases: DataFrame, of_matches: DataFrame | None = None) -> DataFrame:
+    """``id, video_id, reason, kutchi_guj``: phrases without a usable skeleton, without a match, and matches refused for their text."""
+    told = phrases.select("id", "video_id", "kutchi_guj").dropDuplicates(["id"])
+    usable, met = probes(phrases).select("id").distinct(), found.select("id").distinct()
+    none = told.join(usable, "id", "left_anti").withColumn("reason", F.lit("no-usable-skeleton"))
+    unmatched = told.join(usable, "id", "left_semi").join(met, "id", "left_anti").withColumn("reason", F.lit("no-match"))
+    bad = (judged(found, phrases) if of_matches is None else of_matches).filter(F.col("refused").isNotNull()).select("id", "video_id", F.col("guj").alias("kutchi_guj"), F.concat(F.lit("bad-transcript:"), "refused").alias("reason"))
+    return none.unionByName(unmatched).unionByName(bad).select("id", "video_id", "reason", "kutchi_guj")
+
+
 def clips(found: DataFrame, words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``id, r, start, end, duration, score``: padded clips of the matches whose length is in bounds; repetition numbers were given before, so there may be gaps."""
-    timed = found.join(phrases.select("id", "video_id").dropDuplicates(["id"]), "id")
-    first = words.select("video_id", F.col("pos").alias("i"), F.col("s").alias("ws"))
-    last = words.select("video_id", (F.col("pos") + 1).alias("j"), F.col("e").alias("we"))
+    """Rows of a manifest for the matches: padded clips whose text, span and length are in bounds.
+
+    ``id, clip, source_id, phrase, r, start, end, duration, asr_draft, transcript, roman, status, verified_by,
+    confidence``. Repetition numbers were given before the gates, so there may be gaps.
+    """
+    timed = judged(found, phrases).filter(F.col("refused").isNull())
+    heard = timed.select("id", "k", "video_id", F.explode(F.sequence("i", F.col("j") - 1)).alias("pos"), "i", "j").join(words.select("video_id", "pos", "w", "s", "e"), ["video_id", "pos"])
+    said = heard.groupBy("id", "k", "i", "j").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("asr_draft"), F.min_by("s", "pos").alias("ws"), F.max_by("e", "pos").alias("we"))
     start, end = padded(F.col("ws"), F.col("we"))
-    d = timed.join(first, ["video_id", "i"]).join(last, ["video_id", "j"]).withColumns({"start": F.round(start, 2), "end": F.round(end, 2)})
-    d = d.withColumn("duration", F.round(F.col("end") - F.col("start"), 3)).filter(F.col("duration").between(LEAST_SECONDS, MOST_SECONDS))
-    return d.select("id", "r", "start", "end", "duration", F.round("score", 3).alias("score"))
+    d = timed.join(said, ["id", "k", "i", "j"]).withColumns({"s": start, "e": end}).filter((F.col("e") - F.col("s")).between(LEAST_SECONDS, MOST_SECONDS))
+    name = F.format_string("%s-p%03d-r%d", "video_id", "id", "r")
+    return d.select(
+        F.concat(F.lit("card-"), name).alias("id"), F.concat(F.lit("card_"), F.format_string("%s_p%03d_r%d", "video_id", "id", "r"), F.lit(".wav")).alias("clip"), F.col("video_id").alias("source_id"), F.col("id").alias("phrase"), "r",
+        F.round("s", 2).alias("start"), F.round("e", 2).alias("end"), F.round(F.col("e") - F.col("s"), 2).alias("duration"), "asr_draft", "transcript", "roman",
+        F.lit("verified").alias("status"), F.lit("machine-card").alias("verified_by"), F.round("score", 3).alias("confidence"),
+    )

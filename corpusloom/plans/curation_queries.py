@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import metrics
 from corpusloom.functions.script import skeleton_gujarati
-from corpusloom.operators import align, consensus, curate, desk, freeze, ingest, segments
-from corpusloom.session import table
+from corpusloom.operators import align, consensus, corpus, curate, desk, freeze, ingest, segments
+from corpusloom.session import checkpoint, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 EVAL_MINUTES = 20.0
@@ -220,27 +220,32 @@ def card_clip_overlap(s, d):
 
 
 def _phrases(s, d):
-    return table(s, d, "phrasebook").dropDuplicates(["id"])
+    return corpus.first_wins(table(s, d, "phrasebook"), "id", ["video_id", "kutchi_guj", "kutchi_roman", "english", "source_url"])
 
 
 def _words(s, d):
     """The words of each source's manifest drafts end to end, half a second each."""
-    m = table(s, d, "manifest").filter("asr_draft IS NOT NULL AND source_id IS NOT NULL")
-    w = m.select(F.col("source_id").alias("video_id"), F.posexplode(F.split("asr_draft", r"\s+")).alias("p", "w"), "start", "id", "ingested_at").filter("w <> ''")
-    place = F.row_number().over(Window.partitionBy("video_id").orderBy("start", "id", "ingested_at", "p", "w")) - 1
-    return w.select("video_id", place.alias("pos"), "w").select("video_id", "pos", "w", (F.col("pos") * 0.5).alias("s"), (F.col("pos") * 0.5 + 0.5).alias("e"))
+    m = table(s, d, "manifest").filter("asr_draft IS NOT NULL AND source_id IS NOT NULL").select("source_id", "start", "id", "ingested_at", F.filter(F.split("asr_draft", r"\s+"), lambda w: w != "").alias("ws"))
+    # Numbers of words in two levels, by minutes of the source and inside them.
+    m = m.withColumns({"n": F.size("ws"), "b": F.floor(F.coalesce("start", F.lit(-60.0)) / 60)})
+    totals = m.groupBy("source_id", "b").agg(F.sum("n").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy("source_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("source_id", "b").orderBy("start", "id", "ingested_at", "ws").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = m.withColumn("inside", inside).join(totals.select("source_id", "b", before.alias("past")), ["source_id", "b"])
+    w = placed.select(F.col("source_id").alias("video_id"), (F.col("past") + F.col("inside")).alias("first"), F.posexplode("ws").alias("p", "w"))
+    return w.select("video_id", (F.col("first") + F.col("p")).cast("int").alias("pos"), "w").withColumns({"s": F.col("pos") * 0.5, "e": F.col("pos") * 0.5 + 0.5})
 
 
 def fuzzy_align(s, d):
-    """Up to four clips of each phrase in its source's words."""
+    """Up to four clips of each phrase in its source's words, as rows of a manifest."""
     p = _phrases(s, d)
     words = _words(s, d)
-    return align.clips(align.matches(p, words), words, p)
+    return align.clips(checkpoint(align.matches(p, words)), words, p)
 
 
 def matched_phrases(s, d):
     """How many phrases have a clip, and how many clips there are."""
-    return fuzzy_align(s, d).agg(F.countDistinct("id").alias("n_phrases"), F.count("*").alias("n_clips"))
+    return fuzzy_align(s, d).agg(F.countDistinct(ingest.phrase_of(F.col("id"))).alias("n_phrases"), F.count("*").alias("n_clips"))
 
 
 def alternates_zip(s, d):
@@ -248,9 +253,15 @@ def alternates_zip(s, d):
     return align.variants(_phrases(s, d)).select("id", "vi", "guj", "roman")
 
 
+def align_probes(s, d):
+    """The skeletons by which each phrase is looked for."""
+    return align.probes(_phrases(s, d)).select("id", "vi", F.col("k").cast("int").alias("k"), "skel")
+
+
 def align_report(s, d):
-    """Phrases that can't be aligned."""
-    return align.phrase_faults(_phrases(s, d))
+    """Phrases that couldn't be aligned, and why."""
+    p = _phrases(s, d)
+    return align.report(checkpoint(align.matches(p, _words(s, d))), p)
 
 
 # ---- the desk ----
@@ -419,7 +430,7 @@ def queries() -> dict[str, Query]:
     own = [
         minutes_by_source_tier, input_counts, rejects, reject_counts, total_minutes, dedup_tiered, dedup_sequential, merged_sorted, drift_audit, eval_split_source, eval_split_clip, train_minus_eval,
         split_leak, split_mode, eval_guard_counts, clip_resolve, done_anti_join, duration_gate, state_last_wins, requeue_errors, pending_unseen, agreement_scores, agreement_skeletons, lang_gate,
-        verdict_counts, adjudication_batches, apply_decisions, cer_micro, error_rates, chroma_segments, card_picks, card_clip_overlap, alternates_zip, align_report, fuzzy_align, matched_phrases, desk_overlay, desk_progress,
+        verdict_counts, adjudication_batches, apply_decisions, cer_micro, error_rates, chroma_segments, card_picks, card_clip_overlap, alternates_zip, align_probes, align_report, fuzzy_align, matched_phrases, desk_overlay, desk_progress,
         desk_export, next_pending, clock_labels,
     ]
     return {q.__name__: q for q in own}

@@ -121,17 +121,24 @@ def test_segments(spark):
     assert {tuple(r) for r in segments.chroma_samples(log).collect()} == {("v", 1.5, 2.0, 3.0), ("v", 3.0, 1.0, 2.0)}
 
 
-def test_alignment_against_a_plain_search(spark):
-    words = "મુકે બોરી મજા અચી વાય આજ મુકે બોરી માજા અચી વાય ઘર".split()
+@pytest.mark.parametrize("stretch", [3, 2048])
+def test_alignment_against_a_plain_search(spark, monkeypatch, stretch):
+    monkeypatch.setattr(align, "STRETCH", stretch)
+    words = "મુકે બોરી મજા અચી વાય આજ 12 મુકે બોરી માજા અચી વાય ઘર વાટ તે".split() * 3
     w = spark.createDataFrame([("v", j, x, j * 0.5, j * 0.5 + 0.5) for j, x in enumerate(words)], "video_id string, pos int, w string, s double, e double")
-    p = spark.createDataFrame([(1, "v", "મુકે બોરી મજા (x) / ઘર વાટ", "muke bori maja", "", "")], "id int, video_id string, kutchi_guj string, kutchi_roman string, english string, source_url string")
+    p = spark.createDataFrame([(1, "v", "મુકે બોરી મજા (x) / ઘર વાટ / ક", "muke bori maja/ghar vaat", "", ""), (2, "v", "ક/ખ", "long roman", "", ""), (3, "v", "ગગગગ છછછછ", None, "", ""), (4, "none", "મુકે / બોરી", "", "", "")], "id int, video_id string, kutchi_guj string, kutchi_roman string, english string, source_url string")
     skel = {r["w"]: r["s"] for r in w.select("w", script.skeleton(F.col("w")).alias("s")).collect()}
-    variants = [r["skel"] for r in align.variants(p).orderBy("vi").collect()]
+    variants = [r["skel"] for r in align.probes(p).filter("id = 1").orderBy("k").collect()]
+    assert len(variants) == 4 and {r["id"] for r in align.probes(p).collect()} == {1, 3, 4}
     target, spans = max(map(len, variants)), []
     for i in range(len(words)):
         run = ""
+        if not skel[words[i]]:
+            continue
         for j in range(i, len(words)):
             run += skel[words[j]]
+            if j + 1 < len(words) and not skel[words[j + 1]]:
+                continue
             if len(run) > 1.8 * target + 3:
                 break
             if len(run) >= 0.5 * target:
@@ -141,9 +148,13 @@ def test_alignment_against_a_plain_search(spark):
         if len(want) < align.MOST_REPETITIONS and all(x[2] <= y[1] or y[2] <= x[1] for y in want):
             want.append(x)
     found = align.matches(p, w)
-    got = [(r["score"], r["i"], r["j"], r["vi"]) for r in found.orderBy("r").collect()]
+    got = [(r["score"], r["i"], r["j"], r["k"]) for r in found.filter("id = 1").orderBy("r").collect()]
     assert got == want and len(got) >= 2
-    assert align.clips(found, w, p).count() == len(got)
+    cut = align.clips(found, w, p).filter("phrase = 1").collect()
+    assert len(cut) == len(got) and all(r["asr_draft"] == " ".join(words[int(r["start"] * 2 + 0.5) : int(r["end"] * 2)]) for r in cut) and {r["id"] for r in cut} == {f"card-v-p001-r{j + 1}" for j in range(len(got))}
+    assert {(r["id"], r["reason"]) for r in align.report(found, p).collect()} == {(2, "no-usable-skeleton"), (3, "no-match"), (4, "no-match")}
+    devanagari = spark.createDataFrame([(7, "v", "मुके बोरी abc मजा", "")], "id int, video_id string, kutchi_guj string, kutchi_roman string")
+    assert {r["reason"] for r in align.report(align.matches(devanagari, w), devanagari).collect()} == {"bad-transcript:devanagari-transliterated,latin-remnant"}
 
 
 def test_corpus_and_models(spark):
