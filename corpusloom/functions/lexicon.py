@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.script import devanagari_for_lexicon, nfc
-from corpusloom.functions.text import strip
+from corpusloom.functions.text import let, strip
 
 # Signs that become blanks, and the flags in their order.
 PUNCTUATION = "!;:,‘’“”\"'()[]{}<>|/\\*_~`–—-"
@@ -23,22 +25,30 @@ def normalise(text: Column, variants: dict[str, str] | None = None) -> Column:
     ``variants`` are misspelt words and what to write for them: a lexicon that fits in a literal. A
     longer one is applied with :func:`fold_variants`.
     """
-    raw = nfc(F.coalesce(text, F.lit("")))
-    shifted = F.when(raw.rlike(_DEVANAGARI), devanagari_for_lexicon(raw)).otherwise(raw)
-    plain = F.replace(F.replace(shifted, F.lit(NUKTA), F.lit("")), F.lit(CANDRABINDU), F.lit(ANUSVARA))
-    signs = F.translate(F.replace(plain, F.lit(UNSURE), F.lit(_KEPT)), PUNCTUATION, " " * len(PUNCTUATION))
-    words = F.filter(F.split(F.replace(signs, F.lit(_KEPT), F.lit(UNSURE)), r"(?U)\s+"), lambda w: w != "")
-    if variants:
-        table = F.create_map(*[F.lit(x) for pair in variants.items() for x in pair])
+    deva = lambda t: t.rlike(_DEVANAGARI)
 
-        def spelled(w: Column) -> Column:
-            bare = F.regexp_replace(w, r"[.?]+$", "")
-            return F.coalesce(F.concat(table[bare], F.substring(w, F.length(bare) + 1, 1 << 20)), w)
-
-        words = F.transform(words, spelled)
-    done = F.array_join(words, " ")
-    checks = [raw.rlike(_DEVANAGARI), F.contains(shifted, F.lit(NUKTA)), F.contains(shifted, F.lit(CANDRABINDU)), F.contains(plain, F.lit("/")), done.rlike("[A-Za-z]"), done.rlike("[0-9૦-૯]"), done.rlike(_DEVANAGARI)]
-    return F.struct(done.alias("text"), F.array_compact(F.array(*[F.when(c, F.lit(f)) for c, f in zip(checks, FLAGS)])).alias("flags"))
+    def spelled(w: Column) -> Column:
+        table = F.create_map(*[F.lit(x) for pair in variants.items() for x in pair])
+        return let(F.regexp_replace(w, r"[.?]+$", ""), lambda bare: F.coalesce(F.concat(table[bare], F.substring(w, F.length(bare) + 1, 1 << 20)), w))
+
+    def worded(plain: Column) -> Column:
+        signs = F.translate(F.replace(plain, F.lit(UNSURE), F.lit(_KEPT)), PUNCTUATION, " " * len(PUNCTUATION))
+        words = F.filter(F.split(F.replace(signs, F.lit(_KEPT), F.lit(UNSURE)), r"(?U)\s+"), lambda w: w != "")
+        if variants:
+            # Most texts have none of the misspelt words, so their words aren't looked up one by one.
+            some = plain.rlike("|".join(re.escape(v.rstrip(".?")) for v in variants))
+            words = F.when(some, F.transform(words, spelled)).otherwise(words)
+        return F.array_join(words, " ")
+
+    def flagged(s: Column) -> Column:
+        checks = [deva(s["raw"]), F.contains(s["moved"], F.lit(NUKTA)), F.contains(s["moved"], F.lit(CANDRABINDU)), F.contains(s["plain"], F.lit("/"))]
+        checks += [s["done"].rlike("[A-Za-z]"), s["done"].rlike("[0-9૦-૯]"), deva(s["done"])]
+        return F.struct(s["done"].alias("text"), F.array_compact(F.array(*[F.when(c, F.lit(f)) for c, f in zip(checks, FLAGS)])).alias("flags"))
+
+    shifted = lambda raw: F.struct(raw.alias("raw"), F.when(deva(raw), devanagari_for_lexicon(raw)).otherwise(raw).alias("moved"))
+    signed = lambda s: F.struct(s["raw"].alias("raw"), s["moved"].alias("moved"), F.replace(F.replace(s["moved"], F.lit(NUKTA), F.lit("")), F.lit(CANDRABINDU), F.lit(ANUSVARA)).alias("plain"))
+    finished = lambda s: let(F.struct(s["raw"].alias("raw"), s["moved"].alias("moved"), s["plain"].alias("plain"), worded(s["plain"]).alias("done")), flagged)
+    return let(nfc(F.coalesce(text, F.lit(""))), lambda raw: let(shifted(raw), lambda s: let(signed(s), finished)))
 
 
 def read_lexicon(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +25,8 @@ def key(c: Column) -> Column:
 def filled(c: Column) -> Column:
     """Whether the text holds something but blanks; null counts as not."""
     return F.coalesce(strip(c) != "", F.lit(False))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

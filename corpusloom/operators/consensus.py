@@ -40,7 +40,8 @@ def scored(df: DataFrame) -> DataFrame:
     """With ``score`` (to three places), ``suspect`` and ``verdict``, which compares the score as it is."""
     a = agreement(F.col("hyp_a"), F.col("hyp_b"))
     s = neighbour_suspect(F.col("hyp_a"), F.col("hyp_b"), F.col("lang_a"), F.col("lang_b"))
-    return df.withColumns({"score": F.round(a, 3), "suspect": s, "verdict": verdict(a, s, F.col("lang_a"), F.col("lang_b"))})
+    d = df.withColumns({"__a": a, "suspect": s})
+    return d.withColumns({"score": F.round("__a", 3), "verdict": verdict(F.col("__a"), F.col("suspect"), F.col("lang_a"), F.col("lang_b"))}).drop("__a")
 
 
 def batches(df: DataFrame, verified: DataFrame, order: str = "seq", size: int = BATCH_SIZE) -> DataFrame:
