@@ -87,14 +87,15 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(read, f"d {dict(docs.dtypes)['d']}, term string, n long")
 
 
-def _without_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``docs`` with one document of each text; ``d, first`` of the others, with the document that stands for them; and ``term, n``, in how many texts each word is.
+def _without_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """``docs`` with one document of each text; ``d, first`` of the others, with the document that stands for them; ``term, n``, in how many texts each word is; and whether a document has several texts.
 
     Texts are only moved if there are more than BROADCAST_TERMS copies, or if rows repeat a document id. A document
     whose rows differ stands for itself.
     """
     read = checkpoint(_read(docs))
     keys = read.filter("term IS NULL").groupBy("d").agg(F.count("*").alias("n"), F.min("n").alias("k"), F.max("n").alias("l"))
+    several_texts = keys.filter("k < l").limit(1).count() > 0
     if keys.filter("n > 1").limit(1).count():
         docs = docs.distinct()
         read = checkpoint(_read(docs))
@@ -104,7 +105,7 @@ def _without_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     known = F.broadcast(copies.select("d")) if copies.count() <= BROADCAST_TERMS else copies.select("d")
     twice = _read(docs.join(known, "d", "left_semi")).withColumn("n", -F.col("n"))
     counted = read.unionByName(twice).filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
-    return docs.join(known, "d", "left_anti"), copies, counted
+    return docs.join(known, "d", "left_anti"), copies, counted, several_texts
 
 
 def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +115,7 @@ def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _edges(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``d, term, page, bits, size``: in which sentences of a document each term is, 60 to a page, and how many it has.
+    """``d, term, page, bits, size, first``: in which sentences of a document each term is, 60 to a page, how many it has, and whether the page is the term's first.
 
     Few terms go to every worker, which then passes on nothing else; if there are more than BROADCAST_TERMS, all
     words are passed on and joined with the terms.
@@ -126,7 +127,7 @@ def _edges(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = known.value if few else None
         for pdf in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for d, t in zip(pdf["d"], pdf["text"]):
                 parts, held = sentences(t), {}
                 for u, words in enumerate(parts):
@@ -135,14 +136,16 @@ def _edges(docs: DataFrame, terms: DataFrame) -> DataFrame:
                         w = ids.get(w) if few else w
                         if w is not None:
                             held[w, page] = held.get((w, page), 0) | bit
+                met = set()
                 for (w, page), bits in held.items():
-                    for column, x in zip(out, (d, w, page, bits, len(parts))):
+                    for column, x in zip(out, (d, w, page, bits, len(parts), w not in met)):
                         column.append(x)
-            yield pd.DataFrame(dict(zip(("d", "term", "page", "bits", "size"), out)))
+                    met.add(w)
+            yield pd.DataFrame(dict(zip(("d", "term", "page", "bits", "size", "first"), out)))
 
     kind = dict(docs.dtypes)["d"]
-    found = docs.mapInPandas(find, f"d {kind}, term {'long' if few else 'string'}, page int, bits long, size int")
-    return found if few else found.join(terms, "term").select("d", F.col("t").alias("term"), "page", "bits", "size")
+    found = docs.mapInPandas(find, f"d {kind}, term {'long' if few else 'string'}, page int, bits long, size int, first boolean")
+    return found if few else found.join(terms, "term").select("d", F.col("t").alias("term"), "page", "bits", "size", "first")
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,7 +172,7 @@ def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "
     """
     named = areas.select(key(F.col("subject")).alias("k"), F.col("subject").alias("subject")).filter(F.col("k").isNotNull()).dropDuplicates(["k"])
     seeds = labels.select(F.col(doc_id).alias("d"), key(F.col("subject")).alias("k")).join(F.broadcast(named), "k").select("d", "subject").distinct()
-    docs, copies, stats = _without_copies(df.select(F.col(doc_id).alias("d"), F.col(text).alias("text")))
+    docs, copies, stats, several_texts = _without_copies(df.select(F.col(doc_id).alias("d"), F.col(text).alias("text")))
     hands = seeds.join(copies, "d", "left").select(F.coalesce("first", "d").alias("d"), F.col("d").alias("hand"), "subject")
     votes = hands.groupBy("d", "subject").agg(F.count("*").alias("n")).join(hands.groupBy("d").agg(F.countDistinct("hand").alias("all")), "d")
     seeds = checkpoint(votes.filter(F.col("n") >= F.col("all") * LEAST_SHARE).select("d", "subject"))
@@ -191,7 +194,8 @@ def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "
     judged = frequent.join(seen, "term", "left").filter(~F.coalesce((F.col("much") | (F.col("seen") >= SEEN)) & ~telling, F.lit(False)))
     verified = checkpoint(judged.select("term", F.xxhash64("term").alias("t")))
     edges = checkpoint(_edges(docs, verified))
-    pairs = edges.select("d", "term").distinct()
+    pairs = edges.filter("first").select("d", "term")
+    pairs = pairs.distinct() if several_texts else pairs
 
     even = lambda x: x.select("d", "subject", (1.0 / F.count("*").over(_by("d"))).alias("w"))
     now, trusted, moved = even(seeds), None, None
