@@ -70,6 +70,12 @@ def read_lexicon(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return values("roman", "roman"), values("variants", "variant")
 
 
+def looked_up(df: DataFrame, roman: str, lexicon: DataFrame) -> DataFrame:
+    """``df`` with ``guj``, what a lexicon ``roman, guj`` has for the roman text without case and blanks; null if it has nothing."""
+    known = lexicon.select(F.col("roman").alias("__r"), "guj")
+    return df.withColumn("__r", F.lower(strip(F.col(roman)))).join(known, "__r", "left").drop("__r")
+
+
 def fold_variants(df: DataFrame, row_id: str, text: str, variants: DataFrame) -> DataFrame:
     """``row_id, text``: every word that is a known misspelling replaced, by a join with ``variant, guj``.
 

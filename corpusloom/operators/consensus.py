@@ -36,6 +36,16 @@ def pending(manifest: DataFrame, state: DataFrame) -> DataFrame:
     return manifest.filter(F.col("status") == "pending").join(state.select("id"), "id", "left_anti")
 
 
+def first_pending(manifest: DataFrame, state: DataFrame, limit: int, order: list[str]) -> DataFrame:
+    """The first ``limit`` pending rows in order: a run over a part of the work; which rows it takes is the feature."""
+    return pending(manifest, state).orderBy(*order).limit(limit)
+
+
+def requeued(state: DataFrame) -> DataFrame:
+    """The last state of each id, as it is written again when failed rows are asked again."""
+    return without_failed(last_state(state))
+
+
 def scored(df: DataFrame) -> DataFrame:
     """With ``score`` (to three places), ``suspect`` and ``verdict``, which compares the score as it is."""
     a = agreement(F.col("hyp_a"), F.col("hyp_b"))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.lexicon import normalise
-from corpusloom.functions.prefix import running_sum
-from corpusloom.functions.text import strip
+from corpusloom.functions.text import filled, strip
 
 LEAST_PIECE = 2
 #: Rows whose numbers share a bucket of the running sums.
 BUCKET = 100_000
+#: Rows of a bucket of the byte budget, and buckets of a page.
+PAGE = 2048
 
 
 def lines(text: Column) -> Column:
@@ -28,6 +29,12 @@ def pieces(df: DataFrame, order: str, text: str, source: str, least: int = LEAST
     return parts.filter(F.length("piece") >= least)
 
 
+def texts(df: DataFrame, text: str, verified_only: bool = False) -> DataFrame:
+    """The rows with a text, of a track that keeps a status the verified ones only."""
+    kept = df.filter(filled(F.col(text)))
+    return kept.filter(F.col("status") == "verified") if verified_only else kept
+
+
 def build(tracks: dict[str, tuple[DataFrame, str, str, str]], variants: dict[str, str] | None = None) -> DataFrame:
     """``piece, track, source, row, li, pi``: the distinct pieces of all tracks as the convention has them, each where it came first.
 
@@ -60,7 +67,15 @@ def corpus_stats(df: DataFrame, line: str) -> DataFrame:
 def byte_budget(df: DataFrame, order: str, text: str, budget: int) -> DataFrame:
     """The documents in order until their bytes reach the budget; the one that crosses it is kept.
 
-    Each counts its bytes without surrounding blanks, and two for the break after it.
+    Each counts its bytes without surrounding blanks, and two for the break after it. Bytes are summed
+    per bucket of the order first, so only the buckets that begin below the budget are read as rows.
     """
-    d = df.withColumn("n_bytes", (F.octet_length(strip(F.coalesce(F.col(text), F.lit("")))) + 2).cast("long"))
-    return running_sum(d, F.floor(F.col(order) / BUCKET), [order], F.col("n_bytes"), "before", inclusive=False).filter(F.col("before") < budget)
+    size = (F.octet_length(strip(F.coalesce(F.col(text), F.lit("")))) + 2).cast("long")
+    d = df.withColumn("__b", F.floor(F.col(order) / PAGE))
+    totals = d.groupBy("__b").agg(F.sum(size).alias("t")).withColumn("page", F.floor(F.col("__b") / PAGE))
+    pages = totals.groupBy("page").agg(F.sum("t").alias("t")).select("page", F.coalesce(F.sum("t").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p"))
+    inner = F.coalesce(F.sum("t").over(Window.partitionBy("page").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.withColumn("s", inner).join(pages, "page").select("__b", (F.col("s") + F.col("p")).alias("__s")).filter(F.col("__s") < budget)
+    within = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = d.join(starts, "__b").withColumn("n_bytes", size)
+    return rows.withColumn("before", F.col("__s") + F.coalesce(F.sum("n_bytes").over(within), F.lit(0))).filter(F.col("before") < budget).drop("__b", "__s")

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import key
 
 SHARD_MS = 3_600_000
-#: Bounds beyond this many seconds (some 3000 years) are not usable.
-_FAR_S = 1e11
+#: Seconds whose milliseconds fit into 64 bits with room for a shard.
+_FAR_S = 9e15
 
 
 def milliseconds(seconds: Column) -> Column:
-    """Whole milliseconds, halves away from zero; null, NaN, infinite and absurdly far bounds give null."""
+    """Whole milliseconds, halves away from zero; null, NaN, infinite and bounds that 64 bits can't hold give null."""
     s = seconds.cast("double")
     return F.when(~F.isnan(s) & (F.abs(s) < _FAR_S), F.round(s * 1000).cast("long"))
 

@@ -68,3 +68,8 @@ def resolve_files(df: DataFrame, files: DataFrame, name: str = "clip") -> DataFr
     """Rows with ``path``, the file of their name in the first folder that has it (``name, folder_ord, path``)."""
     first = files.groupBy(name).agg(F.min_by("path", "folder_ord").alias("path"))
     return df.join(first, name, "left")
+
+
+def file_counts(resolved: DataFrame) -> DataFrame:
+    """``n_rows, n_found, n_missing``: how many rows of :func:`resolve_files` have a file."""
+    return resolved.agg(F.count("*").alias("n_rows"), F.count("path").alias("n_found"), (F.count("*") - F.count("path")).alias("n_missing"))

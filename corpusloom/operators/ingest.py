@@ -18,6 +18,32 @@ def usable(duration: Column, shortest: float = SHORTEST, longest: float = LONGES
     return F.coalesce(duration.between(shortest, longest), F.lit(False))
 
 
+def recorded(df: DataFrame, duration: str = "duration") -> DataFrame:
+    """Recordings that aren't too short to have been meant; unknown lengths are too short."""
+    return df.filter(F.coalesce(F.col(duration) >= LEAST_RECORDING, F.lit(False)))
+
+
+def id_title(line: Column) -> Column:
+    """``struct<id, title>`` of a line, parted at the first tab; without one the title is empty."""
+    parts = F.split(line, "\t", 2)
+    return F.struct(F.trim(parts[0]).alias("id"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("title"))
+
+
+def shortest_first(files: DataFrame, size: str = "size", name: str = "path") -> DataFrame:
+    """Files in the order in which they are worked on; unknown sizes count as nothing."""
+    return files.orderBy(F.coalesce(F.col(size), F.lit(0)), name)
+
+
+def window_name(n: Column) -> Column:
+    """The name of a card's window."""
+    return F.format_string("c%02d", n)
+
+
+def harvest_counts(index: DataFrame) -> DataFrame:
+    """``n_videos, n_ok, n_cards``: what a harvest's index ``video_id, cards, status`` has."""
+    return index.agg(F.count("*").alias("n_videos"), F.count_if(F.col("status") == "ok").alias("n_ok"), F.coalesce(F.sum("cards"), F.lit(0)).cast("long").alias("n_cards"))
+
+
 def url_id(url: Column) -> Column:
     return F.substring(F.sha1(url.cast("binary")), 1, 12)
 
@@ -37,8 +63,15 @@ def video_id(url: Column) -> Column:
     return F.when(v != "", v)
 
 
+def first_videos(links: DataFrame, url: str = "url", order: str = "n") -> DataFrame:
+    """``video_id, n``: the distinct videos of a list of links and bare ids, each where it came first; playlists and channels have none of their own."""
+    plain = F.trim(url)
+    found = F.when(link_kind(plain) == "video", video_id(plain)).when((link_kind(plain) == "other") & (plain != ""), plain)
+    return links.select(found.alias("video_id"), F.col(order).alias("n")).filter("video_id IS NOT NULL").groupBy("video_id").agg(F.min("n").alias("n"))
+
+
 def link_kind(url: Column) -> Column:
-    return F.when(url.contains("list="), "playlist").when(url.rlike(r"/(channel/|c/|user/|@)"), "channel").when(video_id(url).isNotNull(), "video").otherwise("other")
+    return F.when(url.contains("list=") | url.contains("/playlist"), "playlist").when(url.rlike(r"/(channel/|c/|user/|@)"), "channel").when(video_id(url).isNotNull(), "video").otherwise("other")
 
 
 def pages(sites: DataFrame, url: str, most: int) -> DataFrame:

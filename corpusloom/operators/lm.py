@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Container, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from corpusloom.session import checkpoint
 
 # The sign that stands for a blank before a word, special tokens, and the least count of a merge.
 BLANK, SPECIALS, LEAST_COUNT = "▁", ("<unk>", "<|endoftext|>"), 2
+# The most labels of a row, and the label that the loss leaves out.
+MOST_LABELS, IGNORED = 448, -100
 
 
 def char_vocabulary(df: DataFrame, text: str) -> DataFrame:
@@ -26,10 +29,37 @@ def char_vocabulary(df: DataFrame, text: str) -> DataFrame:
 
 
 def encode_chars(df: DataFrame, row_id: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """``row_id, tokens``: each text as the numbers of its characters."""
-    chars = df.select(row_id, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "")).alias("p", "char")).filter(F.col("char") != "")
-    ids = chars.join(vocabulary.select("char", "char_id"), "char")
-    return ids.groupBy(row_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "char_id"))), lambda x: x["char_id"]).alias("tokens"))
+    """``row_id, tokens``: each text as the numbers of its characters; empty and null texts give no row.
+
+    The vocabulary is bounded by the script (Unicode at most), so it goes to the workers and texts
+    are encoded where they are. Characters that it lacks are left out.
+    """
+    known = sorted((ord(r["char"]), r["char_id"]) for r in vocabulary.select("char", "char_id").collect())
+    codes, ids = np.array([c for c, _ in known], dtype="uint32"), np.array([i for _, i in known], dtype="int64")
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t in pdf["t"]:
+                points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                at = np.minimum(np.searchsorted(codes, points), max(len(codes) - 1, 0))
+                out.append(ids[at][codes[at] == points] if len(codes) else ids)
+            yield pd.DataFrame({"r": pdf["r"], "tokens": out})
+
+    kind = dict(df.dtypes)[row_id]
+    plain = df.select(F.col(row_id).alias("r"), F.col(text).alias("t")).filter("t <> ''")
+    return plain.mapInPandas(encode, f"r {kind}, tokens array<long>").withColumnRenamed("r", row_id)
+
+
+def decode_chars(encoded: DataFrame, row_id: str, vocabulary: DataFrame) -> DataFrame:
+    """``row_id, text``: what :func:`encode_chars` encoded."""
+    names = {r["char_id"]: r["char"] for r in vocabulary.select("char", "char_id").collect()}
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"r": pdf["r"], "text": ["".join(map(names.__getitem__, t)) for t in pdf["tokens"]]})
+
+    return encoded.select(F.col(row_id).alias("r"), "tokens").mapInPandas(decode, f"r {dict(encoded.dtypes)[row_id]}, text string").withColumnRenamed("r", row_id)
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -202,31 +232,119 @@ def fragmentation(encoded: DataFrame, df: DataFrame, row_id: str, text: str) ->
     return sums.select("n_chars", "n_tokens", F.round(F.col("n_chars") / F.greatest(F.col("n_tokens"), F.lit(1)), 6).alias("chars_per_token"), "n_lossy")
 
 
+def placed(encoded: DataFrame, order: str) -> DataFrame:
+    """``before, tokens``: all texts' tokens with the number of those before them in order; whole texts are moved, not tokens."""
+    sized = encoded.withColumn("size", F.size("tokens").cast("long"))
+    return running_sum(sized, F.floor(F.col(order) / BUCKET), [order], F.col("size"), "before", inclusive=False).select(F.col("before").cast("long").alias("before"), "tokens")
+
+
 def token_stream(encoded: DataFrame, order: str) -> DataFrame:
     """``pos, token``: all texts' tokens end to end, in order."""
-    sized = encoded.withColumn("size", F.size("tokens").cast("long"))
-    placed = running_sum(sized, F.floor(F.col(order) / BUCKET), [order], F.col("size"), "before", inclusive=False)
-    return placed.select("before", F.posexplode("tokens").alias("k", "token")).select((F.col("before") + F.col("k")).alias("pos"), "token")
+    return placed(encoded, order).select("before", F.posexplode("tokens").alias("k", "token")).select((F.col("before") + F.col("k")).alias("pos"), "token")
+
 
+def stream_size(stream: DataFrame) -> int:
+    """How many tokens the placed texts have together."""
+    return stream.agg(F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0))).first()[0]
 
-def split_stream(stream: DataFrame, train_share: float = 0.98) -> DataFrame:
-    """With ``part``: the first share of the positions is for training, the rest for validation."""
-    edge = stream.agg(F.floor((F.coalesce(F.max("pos"), F.lit(-1)) + 1) * train_share).alias("edge"))
-    return stream.join(F.broadcast(edge)).withColumn("part", F.when(F.col("pos") < F.col("edge"), "train").otherwise("val")).drop("edge")
+
+def split_stream(stream: DataFrame, train_share: float = 0.98, least: int = 0) -> DataFrame:
+    """``part, before, tokens``: the first share of the positions is for training, the rest for validation, each counted from 0.
+
+    If the rest has fewer than ``least`` tokens, the whole stream is validated on. Texts across the
+    edge are cut.
+    """
+    n = stream_size(stream)
+    edge = math.floor(n * train_share)
+    first = 0 if n - edge < least else edge
+    end = F.col("before") + F.size("tokens")
+    train = stream.filter(F.col("before") < edge).select(F.lit("train").alias("part"), "before", F.slice("tokens", F.lit(1), F.least(F.size("tokens").cast("long"), edge - F.col("before")).cast("int")).alias("tokens"))
+    cut = F.greatest(F.lit(0).cast("long"), F.lit(first) - F.col("before")).cast("int")
+    val = stream.filter(end > first).select(F.lit("val").alias("part"), F.greatest(F.lit(0).cast("long"), F.col("before") - first).alias("before"), F.slice("tokens", cut + 1, F.greatest(F.size("tokens") - cut, F.lit(0))).alias("tokens"))
+    return train.unionByName(val)
 
 
 def windows(stream: DataFrame, length: int) -> DataFrame:
-    """``w, x, y``: full windows of a stream and the same moved on by one token.
+    """``w, x, y``: full windows of placed texts and the same moved on by one token.
 
-    A token is sent to the window it is in and, if it is the first of one, to the window before it,
-    so no window over the whole stream is needed.
+    Each text sends a slice of itself to every window that it reaches into (and to the window before
+    if it holds the token after it), so neither single tokens nor a window over the whole stream are moved.
     """
-    w = F.floor(F.col("pos") / length)
-    to = F.when((F.col("pos") % length == 0) & (F.col("pos") > 0), F.array(w, w - 1)).otherwise(F.array(w))
-    by = stream.select("pos", "token", F.explode(to).alias("w")).groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("all"))
+    return _gathered(stream, F.sequence(F.floor(F.greatest(F.col("before") - 1, F.lit(0)) / length), F.floor((F.col("before") + F.size("tokens") - 1) / length)), lambda w: w * length, length)
+
+
+def _gathered(stream: DataFrame, numbers: Column, start: Callable[[Column], Column], length: int) -> DataFrame:
+    """``w, x, y`` of windows that begin at ``start(w)``, from the texts that reach into each of their ``numbers``."""
+    d = stream.filter(F.size("tokens") > 0).select("before", "tokens", F.explode(numbers).alias("w"))
+    lo = F.greatest(F.col("before"), start(F.col("w")))
+    hi = F.least(F.col("before") + F.size("tokens"), start(F.col("w")) + length + 1)
+    d = d.withColumns({"lo": lo, "hi": hi}).filter("hi > lo")
+    piece = F.slice("tokens", (F.col("lo") - F.col("before") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    by = d.select("w", F.struct("lo", piece.alias("t")).alias("p")).groupBy("w").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"])).alias("all"))
     return by.filter(F.size("all") == length + 1).select("w", F.slice("all", 1, length).alias("x"), F.slice("all", 2, length).alias("y"))
 
 
+def batches(stream: DataFrame, length: int, rows: int, steps: int) -> DataFrame:
+    """``step, b, x, y``: the batches of a training run of ``rows`` windows each, read on through the stream.
+
+    Where fewer tokens are left than a batch and one more, reading begins again at the first. A
+    stream that is shorter than that has no batch.
+    """
+    per, n = rows * length, stream_size(stream)
+    rounds = max(0, (n - 1) // per)
+    whole = windows(stream, length).filter(F.col("w") < rounds * rows).select(F.floor(F.col("w") / rows).alias("turn"), (F.col("w") % rows).cast("int").alias("b"), "x", "y")
+    if not rounds:
+        return whole.select(F.col("turn").alias("step"), "b", "x", "y").limit(0)
+    times = F.sequence(F.col("turn"), F.lit(steps - 1).cast("long"), F.lit(rounds).cast("long"))
+    return whole.filter(F.col("turn") < steps).select(F.explode(times).alias("step"), "b", "x", "y")
+
+
+def random_windows(stream: DataFrame, length: int, count: int, seed: int = 1) -> DataFrame:
+    """``w, x, y``: windows at places drawn by a digest of the seed and their number, so a run may be repeated."""
+    n = stream_size(stream)
+    spark = stream.sparkSession
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("w").cast("string")).cast("binary"))
+    drawn = spark.range(count if n > length else 0).select(F.col("id").alias("w")).withColumn("at", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % max(n - length, 1))
+    # A draw and the texts it reaches into meet by blocks of the stream.
+    block = 1 << max(10, (length + 1).bit_length())
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor(b / block)))
+    wanted = drawn.withColumn("k", blocks(F.col("at"), F.col("at") + length))
+    held = stream.filter(F.size("tokens") > 0).withColumn("k", blocks(F.col("before"), F.col("before") + F.size("tokens") - 1))
+    lo, hi = F.greatest("before", "at", F.col("k") * block), F.least(F.col("before") + F.size("tokens"), F.col("at") + length + 1, (F.col("k") + 1) * block)
+    met = held.join(wanted, "k").withColumns({"lo": lo, "hi": hi}).filter("hi > lo")
+    piece = F.slice("tokens", (F.col("lo") - F.col("before") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    by = met.select("w", F.struct("lo", piece.alias("t")).alias("p")).groupBy("w").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"])).alias("all"))
+    return by.select("w", F.slice("all", 1, length).alias("x"), F.slice("all", 2, length).alias("y"))
+
+
+def label_gate(df: DataFrame, tokens: str, most: int = MOST_LABELS) -> DataFrame:
+    """The rows whose labels aren't too many for the model; null has none."""
+    return df.filter(F.coalesce(F.size(tokens), F.lit(0)) <= most)
+
+
+def gate_counts(df: DataFrame, tokens: str, most: int = MOST_LABELS) -> DataFrame:
+    """``n_rows, n_dropped``: what :func:`label_gate` leaves out."""
+    return df.agg(F.count("*").alias("n_rows"), F.count_if(F.coalesce(F.size(tokens), F.lit(0)) > most).alias("n_dropped"))
+
+
+def padded_batches(df: DataFrame, batch: str, row_id: str, tokens: str, first: int, blank: int = IGNORED) -> DataFrame:
+    """``batch, row_id, labels``: the labels of a batch at one length, filled up with the number that the loss ignores.
+
+    If all rows of a batch begin with the ``first`` token, it is left out.
+    """
+    d = df.select(batch, row_id, F.col(tokens).alias("t"))
+    by = d.groupBy(batch).agg(F.max(F.size("t")).alias("n"), F.min(F.coalesce(F.get("t", F.lit(0)) == first, F.lit(False))).alias("all"))
+    d = d.join(by, batch).withColumn("t", F.concat("t", F.array_repeat(F.lit(blank).cast("long"), F.col("n") - F.size("t"))))
+    return d.select(batch, row_id, F.when(F.col("all"), F.slice("t", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0)))).otherwise(F.col("t")).alias("labels"))
+
+
+def loss_means(losses: DataFrame, step: str = "step", part: str = "part", number: str = "k", loss: str = "loss", batches_: int = 20) -> DataFrame:
+    """``step, train, val, gap``: mean loss of the first batches of both parts at each step, and how far validation is behind."""
+    of = lambda p: F.avg(F.when(F.col(part) == p, F.col(loss)))
+    by = losses.filter(F.col(number) < batches_).groupBy(step).agg(of("train").alias("train"), of("val").alias("val"))
+    return by.select(step, F.round("train", 9).alias("train"), F.round("val", 9).alias("val"), F.round(F.col("val") - F.col("train"), 9).alias("gap"))
+
+
 def learning_rate(step: Column, warmup: int, most_steps: int, highest: float, lowest: float) -> Column:
     """A straight rise over the warm-up, half a cosine down to the lowest, which then stays."""
     part = (step - warmup) / float(max(1, most_steps - warmup))

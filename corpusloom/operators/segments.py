@@ -41,18 +41,32 @@ def padded(start: Column, end: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), start - PAD_BEFORE), end + PAD_AFTER
 
 
+def _level(length: Column, slot: float) -> Column:
+    """The first level whose slots are as wide as the length."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(length / slot)).cast("int"))
+
+
 def overlapping(windows: DataFrame, spans: DataFrame, group: str, slot: float) -> DataFrame:
     """``group, w, n, ids``: for each window ``group, w, ws, we`` the spans ``group, id, ord, cs, ce`` that overlap it, in order.
 
     Windows without any are kept with an empty array; touching isn't overlapping; null bounds overlap
-    nothing. Both sides are cut into time slots of ``slot`` seconds, which join with the group as
-    equal keys, so a group with many spans is no single task; a pair is taken in the slot in which
-    the later of both begins.
+    nothing. Each interval has a level, by its length, at whose time slots (``slot`` seconds, doubled
+    from level to level) it lies in two at most; it also stands in the slots of all levels above up
+    to the longest interval's, so one of absurd length costs no more rows than any other. Slots
+    join with the group as equal keys, so a group with many spans is no single task; a pair is
+    taken at the higher of both levels, in the slot in which the later of both begins.
     """
-    slots = lambda s, e: F.explode(F.sequence(F.floor(s / slot), F.floor(e / slot)))
-    a = windows.filter(F.col("we") > F.col("ws")).withColumn("k", slots(F.col("ws"), F.col("we")))
-    b = spans.filter(F.col("ce") > F.col("cs")).withColumn("k", slots(F.col("cs"), F.col("ce"))).withColumnRenamed(group, "__g")
-    hit = (F.col(group) == F.col("__g")) & (a["k"] == b["k"]) & (F.col("cs") < F.col("we")) & (F.col("ce") > F.col("ws")) & (a["k"] == F.floor(F.greatest("ws", "cs") / slot))
+    wide = lambda level: F.lit(float(slot)) * F.pow(F.lit(2.0), level)
+    a, b = windows.filter(F.col("we") > F.col("ws")), spans.filter(F.col("ce") > F.col("cs"))
+    a = a.withColumn("__l", _level(F.col("we") - F.col("ws"), slot))
+    b = b.withColumn("__l", _level(F.col("ce") - F.col("cs"), slot))
+    top = max(d.agg(F.max("__l")).first()[0] or 0 for d in (a, b))
+    slots = lambda s, e: F.explode(F.transform(F.sequence(F.col("__l"), F.lit(top)), lambda x: F.struct(x.alias("level"), F.array_distinct(F.array(F.floor(s / wide(x)), F.floor(e / wide(x)))).alias("ks"))))
+    a = a.withColumn("__x", slots(F.col("ws"), F.col("we"))).withColumn("__k", F.explode("__x.ks")).withColumn("__al", F.col("__l"))
+    b = b.withColumn("__x", slots(F.col("cs"), F.col("ce"))).withColumn("__k", F.explode("__x.ks")).withColumn("__bl", F.col("__l")).withColumnRenamed(group, "__g")
+    met = (F.col(group) == F.col("__g")) & (a["__x.level"] == b["__x.level"]) & (a["__k"] == b["__k"])
+    once = (a["__x.level"] == F.greatest("__al", "__bl")) & (a["__k"] == F.floor(F.greatest("ws", "cs") / wide(a["__x.level"])))
+    hit = met & (F.col("cs") < F.col("we")) & (F.col("ce") > F.col("ws")) & once
     pairs = a.join(b, hit).groupBy(group, "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("ids"))
     out = windows.select(group, "w").join(pairs, [group, "w"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
     return out.select(group, "w", F.size("ids").alias("n"), "ids")

@@ -437,4 +437,22 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from corpusloom.plans.text_queries import _normalised_sql, _skeleton_roman_sql
+
+    convention = lambda column, rows: _normalised_sql(column, rows, lexicon_words=False).strip().removeprefix("WITH ")
+    return ORACLE | {
+        "drift_audit": _GOOD + ", " + convention("transcript", "good") + " SELECT row_no, done AS normal, array_to_string(flags, ',') AS flags FROM flagged WHERE done <> transcript OR len(flags) > 0",
+        "apply_decisions": f"WITH {_LAST}, decided AS (SELECT id, hyp_a, agreement FROM last WHERE mv_verdict = 'adjudicate' AND id NOT IN (SELECT id FROM verified WHERE id IS NOT NULL)), "
+        + convention("hyp_a", "decided")
+        + """
+SELECT id, done AS transcript, 'verified' AS status, 'machine-consensus' AS verified_by, agreement AS confidence FROM flagged
+WHERE done <> '' AND NOT list_has_any(flags, ['latin-remnant', 'devanagari-remnant', 'slash-alternates'])""",
+        "align_probes": f"""
+WITH once AS (SELECT DISTINCT id, kutchi_guj, kutchi_roman FROM phrasebook),
+a AS (SELECT id, {_alternates_sql("kutchi_guj")} AS g, {_alternates_sql("kutchi_roman")} AS r FROM once),
+e AS (SELECT id, unnest(range(len(g))) AS vi, g, r FROM a),
+z AS (SELECT id, CAST(vi AS INT) AS vi, g[vi + 1] AS guj, coalesce(r[vi + 1], r[1], '') AS roman FROM e),
+s AS (SELECT id, vi, {_skeleton_sql("guj")} AS gs, {_skeleton_roman_sql("roman")} AS rs FROM z),
+p AS (SELECT id, vi, 0 AS second, gs AS skel FROM s WHERE length(gs) >= 4 UNION ALL SELECT id, vi, 1, rs FROM s WHERE length(rs) >= 4 AND gs <> '' AND length(rs) <= 1.4 * length(gs))
+SELECT id, vi, CAST(row_number() OVER (PARTITION BY id ORDER BY vi, second) - 1 AS INT) AS k, skel FROM p""",
+    }

@@ -38,7 +38,7 @@ WITH clips AS (
          CAST(round(start * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS t
   FROM manifest
   WHERE source_id IS NOT NULL AND start IS NOT NULL AND "end" IS NOT NULL
-    AND NOT isnan(start) AND NOT isnan("end") AND abs(start) < 1e11 AND abs("end") < 1e11
+    AND NOT isnan(start) AND NOT isnan("end") AND abs(start) < 9e15 AND abs("end") < 9e15
 ), kept AS (SELECT e, s, t FROM clips WHERE e <> '' AND t > s),
 edged AS (
   SELECT e, s, t, max(t) OVER (PARTITION BY e ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM kept

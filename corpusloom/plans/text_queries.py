@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicon, script
 from corpusloom.operators import align, corpus, desk, ingest, lm
-from corpusloom.session import checkpoint, table
-from corpusloom.sources import html
+from corpusloom.session import checkpoint, shared_folder, table
+from corpusloom.sources import html, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Spellings that the convention's log decides.
 VARIANTS = {"આઉં": "આઉ", "આઈં": "આઈ", "તું": "તૂ", "મુકે.": "મુકે", "તોકેં": "તોકે", "અસાજો": "અસાંજો", "પાજો": "પાંજો", "મુંજો": "મુજો", "બજ઼ાર": "બજાર"}
-BYTE_BUDGET, WINDOW, VOCABULARY = 500_000, 64, 16_000
+BYTE_BUDGET, WINDOW, VOCABULARY, STEPS = 500_000, 64, 16_000, 20
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -47,9 +48,11 @@ def variant_fold(s, d):
 
 
 def roman_lookup(s, d):
-    """The first Gujarati word for each roman one of the phrasebook, by a lookup join."""
-    v = align.variants(table(s, d, "phrasebook").dropDuplicates(["id"])).filter("roman <> ''").select(F.lower(F.trim("roman")).alias("roman"), "guj", "id", "vi")
-    return v.groupBy("roman").agg(F.min_by("guj", F.struct("id", "vi", "guj")).alias("guj"))
+    """For every roman field of the phrasebook the Gujarati text that its alternates have first, by a lookup join."""
+    book = corpus.first_wins(table(s, d, "phrasebook"), "id", ["video_id", "kutchi_guj", "kutchi_roman", "english", "source_url"])
+    v = align.variants(book).filter("roman <> ''").select(F.lower(F.trim("roman")).alias("roman"), "guj", "id", "vi")
+    known = v.groupBy("roman").agg(F.min_by("guj", F.struct("id", "vi", "guj")).alias("guj"))
+    return lexicon.looked_up(book.select("id", F.col("kutchi_roman").alias("roman")), "roman", known)
 
 
 def dev_to_guj_ingest(s, d):
@@ -167,20 +170,77 @@ def char_encode(s, d):
     return lm.encode_chars(v, "row_no", "transcript", lm.char_vocabulary(v, "transcript")).select("row_no", F.size("tokens").cast("long").alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+def char_decode(s, d):
+    """Transcripts encoded and decoded again."""
+    v = _verified(s, d)
+    vocabulary = checkpoint(lm.char_vocabulary(v, "transcript"))
+    return lm.decode_chars(lm.encode_chars(v, "row_no", "transcript", vocabulary), "row_no", vocabulary)
+
+
 def _stream(s, d):
     v = _verified(s, d)
-    return lm.token_stream(lm.encode_chars(v, "row_no", "transcript", lm.char_vocabulary(v, "transcript")), "row_no")
+    return checkpoint(lm.placed(lm.encode_chars(v, "row_no", "transcript", lm.char_vocabulary(v, "transcript")), "row_no"))
 
 
 def train_val_split(s, d):
-    """Tokens in each part of the stream."""
-    return lm.split_stream(_stream(s, d)).groupBy("part").agg(F.count("*").alias("n_tokens"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    """Tokens in each part of the stream, and the first and last place of each."""
+    parts = lm.split_stream(_stream(s, d)).groupBy("part").agg(F.sum(F.size("tokens").cast("long")).alias("n_tokens"))
+    before = F.when(F.col("part") == "val", F.sum("n_tokens").over(Window.partitionBy()) - F.col("n_tokens")).otherwise(F.lit(0))
+    return parts.withColumn("first", before).select("part", "n_tokens", "first", (F.col("first") + F.col("n_tokens") - 1).alias("last"))
+
+
+def split_fallback(s, d):
+    """Tokens in each part if validation asks for more than its share holds: the whole stream."""
+    stream = _stream(s, d)
+    return lm.split_stream(stream, least=lm.stream_size(stream) // 10).groupBy("part").agg(F.sum(F.size("tokens").cast("long")).alias("n_tokens"))
+
+
+def _total(c):
+    return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def token_windows(s, d):
     """Windows of the stream and their targets."""
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return lm.windows(_stream(s, d), WINDOW).select("w", total("x").alias("x_sum"), total("y").alias("y_sum"))
+    return lm.windows(_stream(s, d), WINDOW).select("w", _total("x").alias("x_sum"), _total("y").alias("y_sum"))
+
+
+def token_batches(s, d):
+    """The batches of a run that reads the stream more than once."""
+    return lm.batches(_stream(s, d), WINDOW, 500, STEPS).select("step", "b", _total("x").alias("x_sum"), _total("y").alias("y_sum"))
+
+
+def random_windows(s, d):
+    """Windows at drawn places."""
+    return lm.random_windows(_stream(s, d), WINDOW, 1000).select("w", _total("x").alias("x_sum"), _total("y").alias("y_sum"))
+
+
+def token_cache(s, d):
+    """The stream kept as a table, made once and read twice."""
+    path = f"{shared_folder(s)}/tokens-{uuid4().hex}"
+    made = records.cached(s, path, lambda: _stream(s, d))
+    again = records.cached(s, path, lambda: made.limit(0))
+    return again.agg(F.sum(F.size("tokens").cast("long")).alias("n_tokens"), F.sum(_total("tokens")).alias("total"))
+
+
+def label_gate(s, d):
+    """Transcripts with more characters than a row may have labels."""
+    v = _docs(s, d)
+    return lm.gate_counts(v.select(F.split(F.coalesce("text", F.lit("")), "").alias("t")), "t")
+
+
+def padded_labels(s, d):
+    """Transcripts in batches of 32, filled up to one length."""
+    v = _verified(s, d)
+    encoded = lm.encode_chars(v, "row_no", "transcript", lm.char_vocabulary(v, "transcript")).withColumn("batch", F.floor(F.col("row_no") / 32))
+    p = lm.padded_batches(encoded, "batch", "row_no", "tokens", first=0)
+    return p.select("batch", "row_no", F.size("labels").alias("n"), _total("labels").alias("total"))
+
+
+def loss_means(s, d):
+    """Mean loss of both parts per step, of event values as losses."""
+    part = F.when(F.col("event_id") % 2 == 0, "train").otherwise("val")
+    losses = table(s, d, "events").select((F.col("event_id") % 50).alias("step"), part.alias("part"), F.floor(F.col("event_id") / 50).alias("k"), F.col("value").alias("loss"))
+    return lm.loss_means(losses)
 
 
 def lr_schedule(s, d):
@@ -297,11 +357,11 @@ def _word_sql() -> str:
     return f"coalesce(({table_})[{bare}] || substr(w, length({bare}) + 1), w)"
 
 
-def _normalised_sql(column: str, rows: str) -> str:
+def _normalised_sql(column: str, rows: str, lexicon_words: bool = True) -> str:
     """The convention in SQL: ``raw``, ``done`` and the flags of ``rows``."""
     signs = lexicon.PUNCTUATION.replace("'", "''")
     blanks = " " * len(lexicon.PUNCTUATION)
-    word = _word_sql()
+    word = _word_sql() if lexicon_words else "w"
     return rf"""
 WITH raws AS (SELECT *, nfc_normalize(coalesce({column}, '')) AS raw FROM {rows}),
 shifted AS (SELECT *, CASE WHEN regexp_matches(raw, '[\x{{0900}}-\x{{097F}}]') THEN {_lexicon_sql("raw")} ELSE raw END AS moved FROM raws),
@@ -369,6 +429,29 @@ SELECT * FROM summed WHERE before < {BYTE_BUDGET}""",
     + f"""
 SELECT a.pos // {WINDOW} AS w, CAST(sum(a.char_id) AS BIGINT) AS x_sum, CAST(sum(b.char_id) AS BIGINT) AS y_sum FROM stream a JOIN stream b ON b.pos = a.pos + 1
 GROUP BY 1 HAVING count(*) = {WINDOW}""",
+    "char_decode": "SELECT row_no, transcript AS text FROM verified WHERE transcript <> ''",
+    "split_fallback": "SELECT part, CAST(CASE part WHEN 'val' THEN n ELSE floor(n * 0.98) END AS BIGINT) AS n_tokens FROM (SELECT sum(length(coalesce(transcript, ''))) AS n FROM verified), (SELECT unnest(['train', 'val']) AS part)",
+    "token_batches": _CHARS
+    + f"""
+, sized AS (SELECT (max(pos) + 1 - 1) // {WINDOW * 500} AS rounds FROM stream),
+wins AS (SELECT a.pos // {WINDOW} AS w, CAST(sum(a.char_id) AS BIGINT) AS x_sum, CAST(sum(b.char_id) AS BIGINT) AS y_sum FROM stream a JOIN stream b ON b.pos = a.pos + 1 GROUP BY 1),
+steps AS (SELECT unnest(range({STEPS})) AS step)
+SELECT step, CAST(w % 500 AS INT) AS b, x_sum, y_sum FROM steps, sized, wins WHERE rounds > 0 AND w // 500 = step % rounds""",
+    "random_windows": _CHARS
+    + f"""
+, sized AS (SELECT max(pos) + 1 AS n FROM stream),
+drawn AS (SELECT w, CAST('0x' || substr(md5('1:' || w), 1, 13) AS BIGINT) % (n - {WINDOW}) AS place FROM (SELECT unnest(range(1000)) AS w), sized)
+SELECT w, CAST(sum(char_id) FILTER (pos < place + {WINDOW}) AS BIGINT) AS x_sum, CAST(sum(char_id) FILTER (pos > place) AS BIGINT) AS y_sum FROM drawn JOIN stream ON pos BETWEEN place AND place + {WINDOW} GROUP BY w""",
+    "token_cache": _CHARS + " SELECT count(*) AS n_tokens, CAST(sum(char_id) AS BIGINT) AS total FROM stream",
+    "label_gate": "SELECT count(*) AS n_rows, count(*) FILTER (length(text) > 448) AS n_dropped FROM documents",
+    "padded_labels": _CHARS
+    + """
+, rows_ AS (SELECT row_no, row_no // 32 AS batch, count(*) AS n, CAST(sum(char_id) AS BIGINT) AS total, min(char_id) FILTER (p = 1) AS head FROM chars JOIN vocab USING (char) GROUP BY 1, 2),
+wide AS (SELECT batch, max(n) AS most, bool_and(head = 0) AS every FROM rows_ GROUP BY 1)
+SELECT batch, row_no, CAST(CASE WHEN every THEN most - 1 ELSE most END AS INT) AS n, CAST(total - 100 * (most - n) AS BIGINT) AS total FROM rows_ JOIN wide USING (batch)""",
+    "loss_means": """
+SELECT step, round(t, 9) AS train, round(v, 9) AS val, round(v - t, 9) AS gap
+FROM (SELECT event_id % 50 AS step, avg(value) FILTER (event_id % 2 = 0) AS t, avg(value) FILTER (event_id % 2 = 1) AS v FROM events WHERE event_id // 50 < 20 GROUP BY 1)""",
     "lr_schedule": """
 SELECT step, round(CASE WHEN step < 200 THEN 6e-4 * (step + 1) / 200 WHEN step > 1500 THEN 6e-5 ELSE 6e-5 + 0.5 * (1.0 + cos(pi() * (step - 200) / 1300.0)) * (6e-4 - 6e-5) END, 12) AS lr
 FROM (SELECT unnest(range(2001)) AS step)""",
@@ -391,13 +474,47 @@ FROM (SELECT source_url, regexp_extract(source_url, '(?:v=|youtu\.be/)([\w-]{11}
 def queries() -> dict[str, Query]:
     own = [
         normalize_text, lexicon_audit, variant_fold, roman_lookup, dev_to_guj_ingest, dev_to_guj_text, dev_to_guj_lexicon, guj_to_roman, slugs, line_scripts, script_profile, skeletons_gujarati,
-        skeletons_roman, auto_roman, corpus_lines, corpus_stats, corpus_source_counts, kutchi_corpus_lines, kutchi_corpus_stats, kutchi_corpus_source_counts, byte_budget_docs, char_vocab, char_encode, train_val_split, token_windows, lr_schedule, bpe_pairs, bpe_train,
+        skeletons_roman, auto_roman, corpus_lines, corpus_stats, corpus_source_counts, kutchi_corpus_lines, kutchi_corpus_stats, kutchi_corpus_source_counts, byte_budget_docs, char_vocab, char_encode, char_decode, train_val_split, split_fallback, token_windows, token_batches, random_windows, token_cache, label_gate, padded_labels, loss_means, lr_schedule, bpe_pairs, bpe_train,
         chars_per_token, top_k_candidates, html_extract, html_links, url_hosts, url_ids, link_kinds, prompt_ids, card_ids, page_plan,
     ]
     return {q.__name__: q for q in own}
 
 
-def oracle_sql() -> dict[str, str]:
-    from corpusloom.plans.curation_queries import _skeleton_sql
+def _romanised_sql(column: str) -> str:
+    """The roman draft in SQL: inherent vowels, vowel signs after consonants, then letter by letter."""
+    consonant, voiced = f"[{''.join(script.CONSONANTS)}]", f"[{''.join(script.CONSONANTS + script.VOWELS + script.SIGNS)}]"
+    out = column
+    for _ in range(2):  # a match takes two letters, so of three in a row the second pass sees the rest
+        out = rf"regexp_replace({out}, '({consonant})({voiced})', '\1a\2', 'g')"
+    for sign, sound in zip([*script.MATRAS, script.VIRAMA], [*script.MATRA_SOUNDS, ""]):
+        out = rf"regexp_replace({out}, '({consonant}){sign}', '\1{sound}', 'g')"
+    for letter, sound in zip(script.CONSONANTS + script.VOWELS + script.SIGNS, script.CONSONANT_SOUNDS + script.VOWEL_SOUNDS + script.SIGN_SOUNDS):
+        out = f"replace({out}, '{letter}', '{sound}')"
+    return f"translate({out}, '{''.join(chr(0x0AE6 + d) for d in range(10))}', '0123456789')"
+
 
-    return ORACLE | {"skeletons_gujarati": f"SELECT row_no, {_skeleton_sql('transcript')} AS skel FROM verified"}
+def _skeleton_roman_sql(column: str) -> str:
+    """The roman skeleton in SQL; runs of a letter are collapsed as a list."""
+    out = f"lower(coalesce({column}, ''))"
+    for spelled, sound in script.ROMAN_SPELLINGS:
+        out = f"replace({out}, '{spelled}', '{sound}')"
+    out = rf"translate(regexp_replace({out}, '[^\p{{L}}]', '', 'g'), '{script.ROMAN_LETTERS}', '{script.ROMAN_CLASSES}')"
+    return f"(SELECT coalesce(array_to_string(list_filter(l, lambda c, i: i = 1 OR l[i - 1] <> c), ''), '') FROM (SELECT string_split({out}, '') AS l))"
+
+
+def oracle_sql() -> dict[str, str]:
+    from corpusloom.plans.curation_queries import _alternates_sql, _skeleton_sql
+
+    draft = _romanised_sql("coalesce(transcript, '')")
+    book = f"SELECT id, unnest(range(len(g))) AS vi, g, r FROM (SELECT id, {_alternates_sql('kutchi_guj')} AS g, {_alternates_sql('kutchi_roman')} AS r FROM once)"
+    return ORACLE | {
+        "skeletons_gujarati": f"SELECT row_no, {_skeleton_sql('transcript')} AS skel FROM verified",
+        "skeletons_roman": f"SELECT id, {_skeleton_roman_sql('kutchi_roman')} AS skel FROM phrasebook",
+        "guj_to_roman": f"SELECT row_no, {draft} AS roman FROM verified",
+        "auto_roman": f"SELECT row_no, CASE WHEN coalesce(roman, '') = '' OR roman = {draft} THEN {draft} ELSE roman END AS roman FROM verified",
+        "roman_lookup": f"""
+WITH once AS (SELECT DISTINCT id, kutchi_guj, kutchi_roman FROM phrasebook), e AS ({book}), v AS (SELECT id, vi, g[vi + 1] AS guj, lower(trim(coalesce(r[vi + 1], r[1], ''))) AS roman FROM e),
+known AS (SELECT roman, arg_min(guj, id * 1000 + vi) AS guj FROM v WHERE roman <> '' GROUP BY 1)
+SELECT id, kutchi_roman AS roman, guj FROM once LEFT JOIN known ON known.roman = lower(trim(kutchi_roman))""",
+        "html_links": "SELECT concat_ws('#', source_url, doc_id) AS url, CAST(0 AS INT) AS k, concat_ws('#', source_url, doc_id) AS link FROM documents",
+    }

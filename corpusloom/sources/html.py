@@ -25,7 +25,7 @@ class _Post(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.body_tag, self.body_class = body_tag, body_class
         self.open: list[tuple[str, bool, bool, bool, bool]] = []
-        self.titles: list[tuple[bool, list[str]]] = []
+        self.titles: list[list[str]] = []
         self.lines: list[str] = []
         self.links: list[str] = []
         self.has_body = False
@@ -40,7 +40,7 @@ class _Post(HTMLParser):
         dropped = dropped or tag in DROPPED_TAGS or bool(classes & DROPPED_CLASSES)
         if tag == "h1":
             title = True
-            self.titles.append(("entry-title" in classes, []))
+            self.titles.append([])
         entry = entry or (tag == "h2" and "entry-title" in classes)
         if tag == "a" and entry and a.get("href"):
             self.links.append(a["href"])
@@ -55,13 +55,12 @@ class _Post(HTMLParser):
     def handle_data(self, data: str) -> None:
         _, inside, dropped, title, _ = self.open[-1] if self.open else ("", False, False, False, False)
         if title and self.titles:
-            self.titles[-1][1].append(data.strip())
+            self.titles[-1].append(data.strip())
         if inside and not dropped:
             self.lines += [line.strip() for line in data.splitlines() if line.strip()]
 
     def title(self) -> str:
-        first = next((t for marked, t in self.titles if marked), None) or next((t for _, t in self.titles), [])
-        return "".join(first)
+        return "".join(self.titles[0]) if self.titles else ""
 
 
 def parsed(html: Column, body_tag: str = "div", body_class: str = "entry-content") -> Column:
