@@ -5,12 +5,14 @@ words; both and the softmax are trained by stochastic gradient descent in numpy
 sample of labelled rows, then once more without the rows whose label the first model firmly
 rejects. As the model is linear after the mean, each word has its own log-odds, and a text is cut
 into stretches of one language by the best path over its words with a price for each change. A
-temperature set on held-out rows calibrates the confidence; what falls below a threshold is
-rejected, and the row keeps a usable label it has.
+temperature set on held-out rows calibrates the confidence. As a calibrated confidence is the chance
+of being right, a language is rejected by Chow's rule: if an error, at its expected cost, is dearer
+than no answer; the row then keeps a usable label it has. One rule holds for samples of all sizes.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
@@ -36,12 +38,16 @@ NAMES = {
 }
 #: Rows of the sample, taken by the hash of their number; the whole of a smaller table.
 SAMPLE_ROWS = 10_000
+#: Characters of the sample together; rows beyond are left out of the training, which bounds what the driver holds.
+SAMPLE_CHARS = 30_000_000
 BUCKETS, WIDTH, EPOCHS, BATCH, RATE = 1 << 15, 16, 8, 32, 0.1
 #: Words that a stretch must have to count as a clause, and the most that one word can say.
 CLAUSE_WORDS, LOUDEST = 5, 4.0
 #: The price of a change of language inside a sentence, and where one ends.
 CHANGE, CHANGE_AT_END = 11.0, 4.0
-LEAST_CONFIDENCE = 0.6
+#: No answer costs this part of a wrong one.
+REJECTION_COST = 0.4
+LEAST_CONFIDENCE = 1 - REJECTION_COST
 
 _MARKS = re.compile(r"\[[^\]]*\]|\([^)]*\)|<[^>]*>|\*[^*]*\*|[♪♫♬♩]")
 _TOKEN = re.compile(r"\S+|\n")
@@ -159,22 +165,32 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model | None:
         return None
     words, y = [w for w, _ in pairs], np.array([y for _, y in pairs])
     held = np.arange(len(y)) % 5 == 4
-    part = [w for w, h in zip(words, held) if not h]
-    first = fit(part, y[~held], seed)
+    first = fit([w for w, h in zip(words, held) if not h], y[~held], seed)
     sure = first.confidence(_means(first, words))
-    keep = ~((sure.max(1) > 0.7) & (sure.argmax(1) != y)) if len(y) > 200 else np.ones(len(y), dtype=bool)
-    use = keep & ~held if len(y) > 200 else keep
+    keep = ~((sure.max(1) > 0.7) & (sure.argmax(1) != y))
+    use = keep & ~held
     model = fit([w for w, u in zip(words, use) if u], y[use], seed)
     check = keep & held
-    if check.sum() >= 20:
-        z, t = _means(model, [w for w, c in zip(words, check) if c]) + model.bias, y[check]
+    model.temperature = temperature(_means(model, [w for w, c in zip(words, check) if c]) + model.bias, y[check])
+    return model
 
-        def loss(temperature: float) -> float:
-            s = z / temperature
-            return float(-(s[np.arange(len(t)), t] - s.max(1) - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1))).mean())
 
-        model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
-    return model
+def temperature(z: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature at which the log-odds' chances fit the truth best, drawn towards 1 by as much as two rows weigh.
+
+    So no rows give 1, and few rows move it little.
+    """
+
+    def loss(log_t: float) -> float:
+        s = z / np.exp(log_t)
+        e = s - s.max(1, keepdims=True) if len(s) else s
+        return float(2.0 * log_t**2 - (e[np.arange(len(truth)), truth] - np.log(np.exp(e).sum(1))).sum())
+
+    lo, hi = math.log(0.1), math.log(10.0)
+    for _ in range(60):
+        a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+        lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
+    return math.exp((lo + hi) / 2)
 
 
 class Tagger:
@@ -248,9 +264,11 @@ class Tagger:
 
 
 def _model(df: DataFrame, number: str, text: str, label: str, sample_rows: int) -> Model | None:
-    """Trained on the driver on at most ``sample_rows`` rows, taken by the hash of their number."""
+    """Trained on the driver on at most ``sample_rows`` rows and SAMPLE_CHARS characters, taken by the hash of their number."""
     useful = df.select(F.col(number).alias("n"), F.col(text).alias("t"), canonical(F.col(label)).alias("l")).filter(F.col("l").isin(*LANGUAGES) & F.col("t").isNotNull())
-    rows = useful.orderBy(F.xxhash64("n"), "n", "t").limit(sample_rows).select("t", "l").collect()
+    order = [F.xxhash64("n"), F.col("n"), F.col("t")]
+    taken = useful.orderBy(*order).limit(sample_rows).withColumn("upto", F.sum(F.length("t")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = taken.filter(F.col("upto") <= SAMPLE_CHARS).orderBy(*order).select("t", "l").collect()
     return train([r["t"] for r in rows], [r["l"] for r in rows])
 
 

@@ -45,9 +45,15 @@ def label(tier: Column) -> Column:
 
 
 def measure(size: Column) -> Column:
-    """Null, NaN, infinite and negative sizes count as nothing; to whole thousandths, so sums are exact."""
+    """In whole thousandths, so sums are exact; null, NaN, infinite and negative sizes, and those that 64 bits can't hold, count as nothing."""
     s = size.cast("double")
-    return F.when((s > 0) & (s < 1e9), F.round(s * 1000).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when((s > 0) & (s < 9e15), F.round(s * 1000).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def _sum(c: Column | str) -> Column:
+    """A sum that no order changes and that can't overflow."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.sum(c.cast("decimal(28,0)")), F.lit(0)).cast("double")
 
 
 def anneal(sizes: np.ndarray, labels: np.ndarray, want: np.ndarray, start: np.ndarray, seed: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -113,12 +119,12 @@ def assign(df: DataFrame, targets: DataFrame, row_id: str = "row_no", size: str
     names, shares = [s for s, _ in wanted], np.array([x for _, x in wanted]) / sum(x for _, x in wanted)
 
     measured = df.select(row_id, measure(F.col(size)).alias("ms"), label(F.col(tier)).alias("label")).join(comp, row_id)
-    stats = measured.groupBy("comp").agg(F.sum("ms").alias("ms"), *[F.sum(F.when(F.col("label") == x, F.col("ms")).otherwise(0)).alias(f"l{j}") for j, x in enumerate(LABELS)])
+    stats = measured.groupBy("comp").agg(_sum("ms").alias("ms"), *[_sum(F.when(F.col("label") == x, F.col("ms"))).alias(f"l{j}") for j, x in enumerate(LABELS)])
     stats = stats.withColumn("rank", F.xxhash64(F.lit(seed), "comp"))
     from corpusloom.session import checkpoint
 
     stats = checkpoint(stats)
-    whole = stats.agg(F.coalesce(F.sum("ms"), F.lit(0)).alias("ms"), F.count("*").alias("n")).first()
+    whole = stats.agg(_sum("ms").alias("ms"), F.count("*").alias("n")).first()
     edge = max(1, int(whole["ms"] * LARGE_SHARE))
     large = stats.filter(F.col("ms") > edge)
     columns = [f"l{j}" for j in range(len(LABELS))]
@@ -136,7 +142,7 @@ def assign(df: DataFrame, targets: DataFrame, row_id: str = "row_no", size: str
         np.add.at(held, found, sizes)
         return pd.DataFrame({"comp": pdf["comp"], "search": search, "cost": cost, "at": found.astype("int32"), "ms": pdf["ms"]})
 
-    schema = "block long, comp string, search int, cost double, at int, ms long"
+    schema = "block long, comp string, search int, cost double, at int, ms double"
 
     def run(parts: DataFrame, wants: np.ndarray) -> DataFrame:
         """Every block by every search, as parallel tasks; of each block the cheapest search."""
@@ -152,7 +158,7 @@ def assign(df: DataFrame, targets: DataFrame, row_id: str = "row_no", size: str
 
     first = checkpoint(run(large.withColumn("block", F.lit(0).cast("long")), shares))
     held = np.zeros(len(names))
-    for r in first.groupBy("at").agg(F.sum("ms").alias("ms")).collect():
+    for r in first.groupBy("at").agg(_sum("ms").alias("ms")).collect():
         held[r["at"]] = r["ms"]
     open_ = np.maximum(shares * float(whole["ms"]) - held, 0)
     wants = open_ / open_.sum() if open_.sum() > 0 else shares
@@ -162,10 +168,17 @@ def assign(df: DataFrame, targets: DataFrame, row_id: str = "row_no", size: str
     return comp.join(chosen, "comp").select(row_id, "split", F.col("comp").alias("component"))
 
 
-def report(df: DataFrame, assigned: DataFrame, targets: DataFrame, row_id: str = "row_no", size: str = "duration") -> DataFrame:
-    """``split, n_rows, n_components, size, share, target_share`` of an assignment."""
-    sums = df.select(row_id, measure(F.col(size)).alias("ms")).join(assigned, row_id).groupBy("split", "component").agg(F.sum("ms").alias("ms"), F.count("*").alias("n"))
-    by = sums.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_components"), F.sum("ms").alias("ms"))
+def report(df: DataFrame, assigned: DataFrame, targets: DataFrame, row_id: str = "row_no", size: str = "duration", tier: str = "verified_by") -> DataFrame:
+    """``split, n_rows, n_components, size, share, target_share, label_deviation`` of an assignment.
+
+    The last is the part of a split's size that would have to be of other labels for it to have the mix of the whole.
+    """
+    sized = df.select(row_id, measure(F.col(size)).alias("ms"), label(F.col(tier)).alias("label")).join(assigned, row_id)
+    of = [_sum(F.when(F.col("label") == x, F.col("ms"))).alias(f"l{j}") for j, x in enumerate(LABELS)]
+    sums = sized.groupBy("split", "component").agg(_sum("ms").alias("ms"), F.count("*").alias("n"), *of)
+    by = sums.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_components"), _sum("ms").alias("ms"), *[_sum(f"l{j}").alias(f"l{j}") for j in range(len(LABELS))])
     every = Window.partitionBy()
-    shared = by.withColumn("share", F.col("ms") / F.greatest(F.sum("ms").over(every), F.lit(1)))
-    return shared.join(targets.select("split", F.col("share").alias("target_share")), "split", "left").select("split", "n_rows", "n_components", (F.col("ms") / 1000).alias("size"), "share", "target_share")
+    whole = F.greatest(F.sum("ms").over(every), F.lit(1.0))
+    off = sum((F.abs(F.col(f"l{j}") / F.greatest("ms", F.lit(1.0)) - F.sum(f"l{j}").over(every) / whole) for j in range(1, len(LABELS))), F.abs(F.col("l0") / F.greatest("ms", F.lit(1.0)) - F.sum("l0").over(every) / whole)) / 2
+    shared = by.withColumns({"share": F.col("ms") / whole, "label_deviation": off})
+    return shared.join(targets.select("split", F.col("share").alias("target_share")), "split", "left").select("split", "n_rows", "n_components", (F.col("ms") / 1000).alias("size"), "share", "target_share", "label_deviation")

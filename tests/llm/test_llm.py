@@ -214,7 +214,10 @@ def test_overlap_against_brute_force(spark, seed):
     pairs = overlap.cross_split_pairs(d.unionByName(d.limit(4)), s)
     got = [tuple(r) for r in pairs.collect()]
     assert set(got) == want and len(got) == len(want)
-    assert overlap.report(d, s, pairs).agg(F.sum("n_pairs")).first()[0] == len(want)
+    told = overlap.report(d.unionByName(d.limit(4)), s).first()
+    of_eval = {a if sides.get(a) != "train" else b for a, b in want}
+    every = overlap.report(d, s).agg(F.sum("n_pairs"), F.sum("n_overlapping")).first()
+    assert (every[0], every[1]) == (len(want), len(of_eval)) and told["source_id"] == "s"
     assert overlap.cross_split_pairs(d.limit(0), s).count() == overlap.cross_split_pairs(d, s.limit(0)).count() == 0
 
 
