@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import key
-from corpusloom.llm import language, mixing, overlap, packing, sampling, splits, subjects, survivors, tokens
+from corpusloom.llm import language, mixing, nearcopies, overlap, packing, sampling, splits, subjects, survivors, tokens
 from corpusloom.session import checkpoint, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,21 +87,31 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(table(spark, sf_dir, "verified"), table(spark, sf_dir, "clip_splits"))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' sizes, and the groups of copies and near-copies that containers keep apart."""
+    documents = table(spark, sf_dir, "documents")
+    return checkpoint(nearcopies.grouped(checkpoint(tokens.sized(documents)), documents))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in a container of each kind."""
-    docs = checkpoint(tokens.sized(table(spark, sf_dir, "documents")))
-    return packing.pack(docs, table(spark, sf_dir, "pack_sizes"))
+    return packing.pack(_items(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of copies and near-copies of every document with words."""
+    return _items(spark, sf_dir).filter("copy_key IS NOT NULL").select("doc_id", F.col("copy_key").alias("copy_group"))
 
 
 def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per kind of container: whether every document is in it as a whole, no bin is overfull and only long documents are cut."""
-    docs, sizes = checkpoint(tokens.sized(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "pack_sizes")
+    docs, sizes = _items(spark, sf_dir), table(spark, sf_dir, "pack_sizes")
     return packing.kept_promises(docs, sizes, packing.pack(docs, sizes))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers of each kind are, and how far sources are spread over them."""
-    docs = checkpoint(tokens.sized(table(spark, sf_dir, "documents")))
+    docs = _items(spark, sf_dir)
     return packing.fill_report(packing.pack(docs, table(spark, sf_dir, "pack_sizes")), docs)
 
 
@@ -190,7 +200,7 @@ numbered AS (SELECT row_no, id, source_id, sample_number FROM keyed JOIN registe
 
 def queries() -> dict[str, Query]:
     own = [p1_splits, p1_kept, p1_report, p4_found, p4_survivors, p5_found, p5_languages, p5_segments, p6_sample_rows, p6_sample_ids, p6_sample_sources]
-    own += [p7_found, p7_report, p8_packed, p8_kept, p8_fill, p9_mix, p9_shares, p9_shares_exact, p9_kept, p10_found, p10_composition]
+    own += [p7_found, p7_report, p8_groups, p8_packed, p8_kept, p8_fill, p9_mix, p9_shares, p9_shares_exact, p9_kept, p10_found, p10_composition]
     return {q.__name__: q for q in own}
 
 

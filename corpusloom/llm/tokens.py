@@ -51,6 +51,12 @@ class Counter(dict):
         return len(self.encode(first)) + sum(map(self.__getitem__, rest))
 
 
+def copy_key(text: str | None) -> int | None:
+    """64 bits of a digest that texts share which are equal but for case and white space; none for a text without words."""
+    words = (text or "").lower().split()
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if words else None
+
+
 def counter(path: str) -> Counter:
     """The process's counter for a vocabulary file."""
     if path not in _counters:
@@ -61,8 +67,8 @@ def counter(path: str) -> Counter:
 def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
     """``doc_id, source, n_tokens, copy_key``: one row per row of ``df``.
 
-    ``copy_key`` is equal for texts that are equal but for case and white space (64 bits of a
-    digest). A null or empty text has 0 tokens and no key. Whole texts are encoded.
+    ``copy_key`` is that of :func:`copy_key`. A null or empty text has 0 tokens and no key. Whole
+    texts are encoded.
     """
     file = path or f"{FOLDER}/{VOCABULARY}"
 
@@ -70,7 +76,7 @@ def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         count = counter(file).count
         for pdf in batches:
             texts = [t or "" for t in pdf["t"]]
-            keys = [int.from_bytes(hashlib.blake2b(" ".join(t.lower().split()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if t else None for t in texts]
+            keys = [copy_key(t) for t in texts]
             yield pd.DataFrame({"doc_id": pdf["d"], "source": pdf["s"], "n_tokens": pd.Series([count(t) for t in texts], dtype="int64"), "copy_key": pd.array(keys, dtype="Int64")})
 
     kind = dict(df.dtypes)[doc_id]

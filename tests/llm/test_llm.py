@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language, mixing, overlap, packing, sampling, splits, subjects, survivors, tokens
+from corpusloom.llm import language, mixing, nearcopies, overlap, packing, sampling, splits, subjects, survivors, tokens
 
 VERIFIED = "row_no long, id string, source_id string, start double, end double, duration double, transcript string, verified_by string, updated_at timestamp_ntz, track string"
 
@@ -259,6 +260,43 @@ def test_packing_is_whole_and_within_capacity(spark):
     assert packing.pack(d.limit(0), kinds).count() == packing.pack(d, kinds.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1, 4])
+def test_near_copies_against_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(nearcopies, "FREQUENT", frequent)
+    rng = random.Random(frequent)
+    words = [f"w{j}" for j in range(40)]
+    base = [[rng.choice(words) for _ in range(rng.choice([3, 20, 60, 120]))] for _ in range(25)]
+
+    def edited():
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        return rng.choice([" ", "  "]).join(t) + rng.choice(["", "", " the same closing line of all these pages here"])
+
+    rows = [(j, edited()) for j in range(150)] + [(900, None), (901, " "), (902, "Ab cd"), (903, "ab  CD")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = {j: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for j, t in rows if (w := (t or "").lower().split())}
+    parent = {j: j for j in runs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(runs, 2):
+        if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]) - 1e-9:
+            parent[root(a)] = root(b)
+    sized = d.select("doc_id", "text").mapInPandas(lambda it: (p.assign(copy_key=pd.array([tokens.copy_key(t) for t in p["text"]], dtype="Int64"))[["doc_id", "copy_key"]] for p in it), "doc_id long, copy_key long")
+    got = {r["doc_id"]: r["copy_key"] for r in nearcopies.grouped(sized, d).collect()}
+    assert len(got) == len(rows) and got[900] is None and got[901] is None
+    by_root, by_group = {}, {}
+    for j in runs:
+        by_root.setdefault(root(j), set()).add(j)
+        by_group.setdefault(got[j], set()).add(j)
+    assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, by_group.values())) and len(by_root) < len(runs)
+    assert nearcopies.grouped(sized.limit(0), d.limit(0)).count() == 0
+
+
 def test_best_fit_takes_the_tightest():
     assert packing.best_fit([60, 50, 40, 30], ["a", "b", "c", "d"], [None] * 4, 100) == [0, 1, 0, 1]
     assert len(set(packing.best_fit([10] * 5, ["a"] * 5, [1] * 5, 100))) == 5
