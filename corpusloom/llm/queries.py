@@ -187,21 +187,21 @@ def _p4_survivors_sql() -> str:
     same = lambda f: f"CAST(round({f}, 3) AS VARCHAR)" if f in ("start", '"end"', "duration", "confidence") else rf"regexp_replace(lower(trim({f}, {blank})), '[\s\p{{Z}}]+', ' ', 'g')"
     fields = ['"end"' if f == "end" else f for f in SURVIVING]
     won = [
-        f"""w{j} AS (SELECT clip, arg_max(raw, {{'v': votes, 'o': ord}}) AS value FROM (SELECT clip, {same(f)} AS same, sum(vote) AS votes, max(ord) AS ord, arg_max({f}, ord) AS raw FROM base WHERE {same(f)} <> '' GROUP BY 1, 2) GROUP BY 1)"""
+        f"""w{j} AS (SELECT class, arg_max(raw, {{'v': votes, 'o': ord}}) AS value FROM (SELECT class, {same(f)} AS same, sum(vote) AS votes, max(ord) AS ord, arg_max({f}, ord) AS raw FROM base WHERE {same(f)} <> '' GROUP BY 1, 2) GROUP BY 1)"""
         for j, f in enumerate(fields)
     ]
     return (
         head
-        + f""", linked AS (SELECT u AS row_no, min(v) AS clip FROM reach GROUP BY 1),
-base AS (SELECT verified.*, coalesce(clip, row_no) AS clip, {{'k': trust, 'at': coalesce(updated_at, TIMESTAMP '0001-01-01'), 'r': -row_no}} AS ord,
+        + f""", linked AS (SELECT u AS row_no, min(v) AS class FROM reach GROUP BY 1),
+base AS (SELECT verified.*, coalesce(class, row_no) AS class, {{'k': trust, 'at': coalesce(updated_at, TIMESTAMP '0001-01-01'), 'r': -row_no}} AS ord,
          trust * CAST(coalesce(least(1e3, pow(2.0, (floor(epoch(updated_at)) - epoch(TIMESTAMP '2026-01-01')) / 86400.0 / 180.0)), 0) AS DECIMAL(24,20)) AS vote
   FROM verified LEFT JOIN linked USING (row_no) JOIN (SELECT row_no, CAST(CASE tier WHEN 0 THEN 1000 WHEN 1 THEN 100 WHEN 2 THEN 10 ELSE 1 END AS DECIMAL(4,0)) AS trust FROM rows) USING (row_no)),
-sizes AS (SELECT clip, count(*) AS n_rows FROM base GROUP BY 1), """
+sizes AS (SELECT class, count(*) AS n_rows FROM base GROUP BY 1), """
         + ", ".join(won)
-        + " SELECT clip, n_rows, "
+        + " SELECT class AS clip, n_rows, "
         + ", ".join(f"w{j}.value AS {f}" for j, f in enumerate(fields))
         + " FROM sizes "
-        + " ".join(f"LEFT JOIN w{j} USING (clip)" for j in range(len(fields)))
+        + " ".join(f"LEFT JOIN w{j} USING (class)" for j in range(len(fields)))
     )
 
 
