@@ -55,9 +55,10 @@ def stream_state_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per status of manifest's clips once corrections that came in two batches are laid over them."""
     work = f"{shared_folder(spark)}/overlay-{uuid4().hex}"
-    saved = table(spark, sf_dir, "verified").filter("id IS NOT NULL").select("row_no", "id", *desk.SAVED)
+    state = table(spark, sf_dir, "machine_verify_state").filter("id IS NOT NULL")
+    saved = state.select("seq", "id", "transcript", F.lit("").alias("roman"), F.col("mv_verdict").alias("status"), F.lit("").alias("notes"))
     clips = table(spark, sf_dir, "manifest").groupBy("id").agg(*[F.min(c).alias(c) for c in desk.SAVED])
-    incremental.corrected(_in_batches(spark, saved, work, F.col("row_no") % 2, 2), clips, f"{work}/state", f"{work}/checkpoint", "row_no").awaitTermination()
+    incremental.corrected(_in_batches(spark, saved, work, F.col("seq") % 2, 2), clips, f"{work}/state", f"{work}/checkpoint").awaitTermination()
     return incremental.laid_over(clips, f"{work}/state").groupBy("status").agg(F.count("*").alias("n_rows"))
 
 
@@ -88,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "stream_state_batches": last,
         "stream_overlay": """
-WITH clips AS (SELECT id, min(status) AS status FROM manifest GROUP BY id), saved AS (SELECT id, arg_max(coalesce(status, ''), row_no) AS status FROM verified WHERE id IS NOT NULL GROUP BY id)
+WITH clips AS (SELECT id, min(status) AS status FROM manifest GROUP BY id), saved AS (SELECT id, arg_max(coalesce(mv_verdict, ''), seq) AS status FROM machine_verify_state WHERE id IS NOT NULL GROUP BY id)
 SELECT coalesce(nullif(s.status, ''), nullif(c.status, ''), 'pending') AS status, count(*) AS n_rows FROM clips c LEFT JOIN saved s ON c.id = s.id GROUP BY 1""",
         "stream_segments": _SEGMENTS + " SELECT user_id, seg, epoch_us(seg_start) AS start_us, epoch_us(seg_end) AS end_us, n_samples FROM segs",
         "stream_ingest": "SELECT DISTINCT id FROM manifest WHERE id IS NOT NULL",

@@ -512,9 +512,9 @@ def oracle_sql() -> dict[str, str]:
         "skeletons_roman": f"SELECT id, {_skeleton_roman_sql('kutchi_roman')} AS skel FROM phrasebook",
         "guj_to_roman": f"SELECT row_no, {draft} AS roman FROM verified",
         "auto_roman": f"SELECT row_no, CASE WHEN coalesce(roman, '') = '' OR roman = {draft} THEN {draft} ELSE roman END AS roman FROM verified",
-        "roman_lookup": f"""
+        "roman_lookup": rf"""
 WITH once AS (SELECT DISTINCT id, kutchi_guj, kutchi_roman FROM phrasebook), e AS ({book}), v AS (SELECT id, vi, g[vi + 1] AS guj, lower(trim(coalesce(r[vi + 1], r[1], ''))) AS roman FROM e),
 known AS (SELECT roman, arg_min(guj, id * 1000 + vi) AS guj FROM v WHERE roman <> '' GROUP BY 1)
-SELECT id, kutchi_roman AS roman, guj FROM once LEFT JOIN known ON known.roman = lower(trim(kutchi_roman))""",
+SELECT id, kutchi_roman AS roman, guj FROM once LEFT JOIN known ON known.roman = lower(regexp_replace(kutchi_roman, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))""",
         "html_links": "SELECT concat_ws('#', source_url, doc_id) AS url, CAST(0 AS INT) AS k, concat_ws('#', source_url, doc_id) AS link FROM documents",
     }

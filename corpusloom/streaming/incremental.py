@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from corpusloom.operators.consensus import last_state
-from corpusloom.operators.desk import overlay
+from corpusloom.operators.desk import SAVED, overlay
 from corpusloom.operators.segments import CHANGE
 
 #: Folders into which the keys of a state are hashed.
@@ -89,8 +90,10 @@ def _versions(spark: SparkSession, folder: str, below: int | None = None) -> dic
     return found
 
 
-def current_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest versions of all parts that :func:`upsert_state` wrote."""
+def current_state(spark: SparkSession, folder: str, schema: str | StructType | None = None) -> DataFrame:
+    """The latest versions of all parts that :func:`upsert_state` wrote; if it wrote none yet, an empty table of ``schema``, without which that is an error."""
+    if schema is not None and not _versions(spark, folder):
+        return spark.createDataFrame([], schema)
     return spark.read.option("basePath", folder).parquet(*[f"{folder}/part={p}/v={v}" for p, v in _versions(spark, folder).items()]).drop("part", "v")
 
 
@@ -102,7 +105,8 @@ def corrected(stream: DataFrame, manifest: DataFrame, folder: str, checkpoint_di
 
 def laid_over(manifest: DataFrame, folder: str) -> DataFrame:
     """The manifest with the latest corrections kept by :func:`corrected`."""
-    return overlay(manifest, current_state(manifest.sparkSession, folder))
+    none = "id STRING, " + ", ".join(f"{c} STRING" for c in SAVED)
+    return overlay(manifest, current_state(manifest.sparkSession, folder, none))
 
 
 _POINTS = "group string, seg long, seg_start double, seg_end double, n_samples long"
