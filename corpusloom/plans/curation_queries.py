@@ -374,6 +374,15 @@ ORACLE = {
     "reject_counts": _GOOD + " SELECT reason, count(*) AS n_rows FROM checked WHERE reason IS NOT NULL GROUP BY 1",
     "total_minutes": _GOOD + " SELECT round(sum(coalesce(duration, 0)) / 60.0, 6) AS minutes, count(*) AS n_rows FROM good",
     "dedup_tiered": _DEDUP + " SELECT row_no, id, source_id, tier FROM kept",
+    "dedup_sequential": _GOOD.replace("WITH gated", "WITH RECURSIVE gated", 1)
+    + """, rows AS (SELECT row_number() OVER (ORDER BY row_no) AS n, row_no, id, CASE tier WHEN 'human' THEN 0 WHEN 'machine-card' THEN 1 ELSE 2 END AS r, 'i' || coalesce('=' || id, '') AS i,
+  'p' || coalesce(source_id, '') || chr(9) || round(coalesce(start, 0), 1) || chr(9) || round(coalesce("end", 0), 1) AS p FROM good),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS n, MAP {'': {'r': CAST(0 AS INT), 'row_no': CAST(-1 AS BIGINT)}} AS held
+  UNION ALL SELECT rows.n, CASE WHEN coalesce(rows.r < held[i].r, TRUE) AND coalesce(rows.r < held[p].r, TRUE) THEN map_concat(held, MAP {i: {'r': CAST(rows.r AS INT), 'row_no': row_no}, p: {'r': CAST(rows.r AS INT), 'row_no': row_no}}) ELSE held END
+  FROM fold JOIN rows ON rows.n = fold.n + 1
+), done AS (SELECT arg_max(held, n) AS held FROM fold)
+SELECT row_no, id FROM rows, done WHERE held[i].row_no = row_no AND held[p].row_no = row_no""",
     "merged_sorted": _DEDUP + " SELECT row_no, source_id, coalesce(start, 0) AS start FROM kept ORDER BY 2, 3, 1",
     "eval_split_source": _EVAL_SOURCES + " SELECT source_id, round(minutes, 6) AS minutes FROM held",
     "eval_split_clip": _EVAL_CLIPS + " SELECT id, round(minutes, 6) AS minutes FROM held",

@@ -131,7 +131,7 @@ def corpus_source_counts(s, d):
 
 
 def _kutchi(s, d):
-    said = _verified(s, d).filter("status = 'verified'")
+    said = corpus.texts(_verified(s, d), "transcript", verified_only=True)
     tracks = {"verified": (said, "row_no", "transcript", "source_id"), "phrasebook": (table(s, d, "phrasebook"), "id", "kutchi_guj", "video_id"), "documents": (_docs(s, d), "doc_id", "text", "source")}
     return corpus.build(tracks, VARIANTS)
 
