@@ -171,7 +171,7 @@ def test_corpus_and_models(spark):
     assert lm.fragmentation(enc, t, "r", "t").first()["n_lossy"] == 0
     stream = lm.token_stream(enc, "r")
     assert [r["pos"] for r in stream.orderBy("pos").collect()] == list(range(stream.count()))
-    s = spark.createDataFrame([(j, j * 10) for j in range(9)], "pos long, token int")
+    s = spark.createDataFrame([(0, [0, 10, 20]), (3, [30, 40, 50, 60, 70]), (8, [80])], "before long, tokens array<long>")
     assert {(r["w"], tuple(r["x"]), tuple(r["y"])) for r in lm.windows(s, 4).collect()} == {(0, (0, 10, 20, 30), (10, 20, 30, 40)), (1, (40, 50, 60, 70), (50, 60, 70, 80))}
     rate = lambda x: one(spark, lm.learning_rate(F.lit(x), 200, 1500, 6e-4, 6e-5))
     assert (rate(0), rate(200), rate(1501)) == (pytest.approx(3e-6), pytest.approx(6e-4), pytest.approx(6e-5))
