@@ -135,12 +135,17 @@ def line_script(line: Column) -> Column:
     return let(F.struct(*[c.alias(name) for name, c in n.items()]), most)
 
 
-def skeleton_gujarati(text: Column) -> Column:
-    """One letter per sound class; Devanagari counts as Gujarati, all else is dropped."""
+def _sound_classes() -> tuple[str, str]:
+    """The letters that have a sound class in either script, and their classes."""
     letters = [(c, k) for k, cs in SKELETON_CLASSES.items() for c in cs]
     both = letters + [(chr(ord(c) - _SHIFT), k) for c, k in letters]
-    known = "".join(c for c, _ in both)
-    return F.translate(F.regexp_replace(text, f"[^{known}]", ""), known, "".join(k for _, k in both))
+    return "".join(c for c, _ in both), "".join(k for _, k in both)
+
+
+def skeleton_gujarati(text: Column, kept: str = "") -> Column:
+    """One letter per sound class; Devanagari counts as Gujarati, all else but ``kept`` is dropped."""
+    known, classes = _sound_classes()
+    return F.translate(F.regexp_replace(text, f"[^{known}{kept}]", ""), known, classes)
 
 
 def skeleton_roman(text: Column) -> Column:
@@ -156,3 +161,8 @@ def skeleton(text: Column) -> Column:
     longer = lambda s: F.when(F.length(s["r"]) > F.length(s["g"]), s["r"]).otherwise(s["g"])
     return let(F.struct(skeleton_gujarati(text).alias("g"), skeleton_roman(text).alias("r")), longer)
 
+
+def skeletons(text: Column) -> Column:
+    """The skeletons of words between single blanks, in one pass where no letter lacks a sound class: there the Gujarati ones are as long as any."""
+    unclassed = text.rlike(rf"[\p{{L}}&&[^{_sound_classes()[0]}]]")
+    return F.when(~unclassed, skeleton_gujarati(text, " ")).otherwise(F.array_join(F.transform(F.split(text, " "), skeleton), " "))

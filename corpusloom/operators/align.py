@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.lexicon import normalise
-from corpusloom.functions.metrics import matching_ratio
-from corpusloom.functions.script import skeleton, skeleton_gujarati, skeleton_roman
+from corpusloom.functions.runs import similar
+from corpusloom.functions.script import skeleton, skeleton_gujarati, skeleton_roman, skeletons
 from corpusloom.functions.text import strip
 from corpusloom.operators.consensus import REFUSED
 from corpusloom.operators.segments import padded
+from corpusloom.session import checkpoint
 
 # Similarity, repetitions per phrase, bounds on a phrase's skeleton and on an aligned clip's seconds.
 THRESHOLD, MOST_REPETITIONS = 0.75, 4
 LEAST_SKELETON, ROMAN_RATIO, SPAN_RATIO = 4, 1.4, 2.0
 LEAST_SECONDS, MOST_SECONDS = 0.5, 15.0
-#: Words of a video that are worked on together.
-STRETCH = 2048
+#: Words of a video, and skeletons, that are searched together, and positions in which lines and clips meet.
+STRETCH, BLOCK, PAGE = 16384, 4096, 64
 
 
 def alternates(field: Column) -> Column:
@@ -49,57 +54,88 @@ def probes(phrases: DataFrame) -> DataFrame:
     return d.withColumn("k", place).drop("second")
 
 
-def spans(words: DataFrame, most: int) -> DataFrame:
-    """``video_id, i, j, span``: runs of words ``video_id, pos, w`` whose joined skeleton a phrase could match.
+def lines(words: DataFrame) -> DataFrame:
+    """``video_id, pos, n, text, s, e``: words ``w``, or lists ``ws`` of words without blanks that follow one another evenly from ``s`` to ``e``, as texts of n words."""
+    times = [c for c in ("s", "e") if c in words.columns]
+    if "ws" in words.columns:
+        return words.filter(F.size("ws") > 0).select("video_id", "pos", F.size("ws").alias("n"), F.array_join("ws", " ").alias("text"), *times)
+    return words.select("video_id", "pos", F.lit(1).alias("n"), F.col("w").alias("text"), *times)
+
+
+def texts(words: DataFrame, blocks: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The words that have a skeleton, of the videos of ``video_id, blocks``, in pages ``video_id, page, ws, start, n, size, end, blocks``; and ``video_id, parts``.
 
-    A run ends before its skeleton exceeds 1.8 times the longest phrase, ``most``, plus 3 letters. Words
+    ``start`` numbers a page's first such word in its video of ``n``, ``end`` is the video's end, and ``size`` how
+    many of them make a part. They are counted first, so that what is moved is each line once.
+    """
+    size = max(STRETCH, int(1.8 * most + 3))
+    d = lines(words).withColumn("skels", F.when(F.col("n") == 1, skeleton(F.col("text"))).otherwise(skeletons(F.col("text")))).withColumn("page", F.floor(F.col("pos") / STRETCH))
+    some = F.when(F.col("skels") == "", 0).otherwise(F.size(F.filter(F.split("skels", " "), lambda w: w != "")))
+    by = Window.partitionBy("video_id")
+    before = F.coalesce(F.sum("n").over(by.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = d.groupBy("video_id", "page").agg(F.sum(some).alias("n"), F.max(F.col("pos") + F.col("n")).alias("upto"))
+    numbers = counts.select("video_id", "page", before.alias("start"), F.sum("n").over(by).alias("n"), F.max("upto").over(by).cast("int").alias("end"))
+    numbers = checkpoint(numbers.join(blocks, "video_id").filter("n > 0").withColumn("size", F.lit(size)))
+    parts = numbers.select("video_id", (F.floor((F.col("n") - 1) / size) + 1).alias("parts")).distinct()
+    pages = d.filter("skels <> ''").groupBy("video_id", "page").agg(F.sort_array(F.collect_list(F.struct("pos", "skels"))).alias("ls"))
+    placed = F.flatten(F.transform("ls", lambda x: F.transform(F.split(x["skels"], " "), lambda w, k: F.struct((x["pos"] + k).cast("int").alias("pos"), w.alias("s")))))
+    return pages.join(numbers, ["video_id", "page"]).withColumn("ws", F.filter(placed, lambda w: w["s"] != "")).drop("ls"), parts
+
+
+def hits(phrases: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, k, score, i, j, span``: the runs of words similar enough to a phrase's skeleton, without those that can't be picked.
+
+    A run ends before its skeleton exceeds 1.8 times the phrase's longest, plus 3 letters. Words
     without a skeleton add nothing: of the runs that differ by them alone the one that begins with
-    a letter and takes in what follows would be picked, so only that is built. So a run has as many words
-    as letters at most. The words of a video are numbered in stretches of positions and cut into
-    stretches of STRETCH words, each of which takes along the words that its last runs may need, so a
-    video of any length is no single task.
+    a letter and takes in what follows would be picked, so only that is looked at. So a run has as many
+    words as letters at most. A video's words are cut into parts, each with the words that its last runs may
+    need, and its skeletons into blocks; no pair is written, each part is searched for each block in one row.
     """
+    v = probes(phrases).withColumn("target", F.max(F.length("skel")).over(Window.partitionBy("id")))
+    most = v.agg(F.max("target")).first()[0] or 0
     longest = int(1.8 * most + 3)
-    size = max(STRETCH, longest)
-    d = words.select("video_id", "pos", skeleton(F.col("w")).alias("s"))
-    ends = d.groupBy("video_id").agg((F.max("pos") + 1).alias("end"))
-    d = d.filter("s <> ''").withColumn("page", F.floor(F.col("pos") / STRETCH))
-    held = d.groupBy("video_id", "page").agg(F.count("*").alias("n"))
-    starts = held.select("video_id", "page", F.coalesce(F.sum("n").over(Window.partitionBy("video_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("video_id", "page").orderBy("pos")) - 1
-    d = d.withColumn("m", inside).join(starts, ["video_id", "page"]).withColumn("m", F.col("start") + F.col("m")).join(ends, "video_id")
-    own = F.floor(F.col("m") / size)
-    to = F.when((own > 0) & (F.col("m") % size < longest), F.array(own, own - 1)).otherwise(F.array(own))
-    d = d.withColumns({"own": own, "part": F.explode(to)})
-    by = Window.partitionBy("video_id", "part").orderBy("m")
-    d = d.withColumns({"upto": F.coalesce(F.lead("pos").over(by), "end"), "past": F.sum(F.length("s")).over(by)})
-    d = d.withColumn("before", F.col("past") - F.length("s"))
-    ahead = F.collect_list(F.struct("s", "upto", "past")).over(Window.partitionBy("video_id", "part").orderBy("before").rangeBetween(0, longest))
-    d = d.select("video_id", F.col("pos").alias("i"), "own", "part", "before", ahead.alias("ahead")).filter("own = part")
-    d = d.select("video_id", "i", "before", F.array_join("ahead.s", "").alias("t"), F.explode(F.arrays_zip("ahead.upto", "ahead.past")).alias("x")).withColumn("n", (F.col("x.past") - F.col("before")).cast("int"))
-    return d.filter(F.col("n") <= longest).select("video_id", F.col("i").cast("int").alias("i"), F.col("x.upto").cast("int").alias("j"), F.expr("substring(t, 1, n)").alias("span"))
+    blocks = v.groupBy("video_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    pages, parts = texts(words, blocks, most)
+    p = v.join(blocks, "video_id").join(parts, "video_id").withColumn("block", F.pmod(F.xxhash64("skel"), "blocks"))
+    p = p.groupBy("video_id", "block", "parts").agg(F.sort_array(F.collect_list(F.struct("skel", "target", "id", F.col("k").cast("int").alias("k")))).alias("ps"))
+    p = p.select("video_id", "block", "ps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    # Of each page what a part needs: its own words, and as many behind them as a run can have.
+    size, start, here = F.col("size"), F.col("start"), F.size("ws")
+    t = pages.withColumn("part", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(start / size) - 1), F.floor((start + here - 1) / size))))
+    low, high = F.greatest(F.col("part") * size, start), F.least((F.col("part") + 1) * size + longest, start + here)
+    t = t.filter(high > low).withColumns({"low": low, "ws": F.slice("ws", (low - start + 1).cast("int"), (high - low).cast("int"))})
+    t = t.select("video_id", "part", "low", "n", "end", "size", F.array_join("ws.s", " ").alias("text"), F.col("ws.pos").alias("pos"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    t = t.groupBy("video_id", "part", "block").agg(F.sort_array(F.collect_list(F.struct("low", "text", "pos"))).alias("s"), F.first("n").alias("n"), F.first("end").alias("end"), F.first("size").alias("size"))
+    cells = t.join(p, ["video_id", "part", "block"]).select("part", "size", "n", "end", F.array_join("s.text", " ").alias("text"), F.flatten("s.pos").alias("pos"), F.array_join("ps.skel", " ").alias("skels"), F.col("ps.target").alias("targets"), F.col("ps.id").alias("ids"), F.col("ps.k").alias("ks"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["id", "k", "score", "i", "j", "span"]
+        for batch in batches:
+            for c in batch.itertuples():
+                named: dict[tuple[str, int], list[tuple[int, int]]] = {}
+                for skel, target, who, k in zip(c.skels.split(" "), c.targets.tolist(), c.ids.tolist(), c.ks.tolist()):
+                    named.setdefault((skel, target), []).append((who, k))
+                wanted, pos = list(named), c.pos
+                upto = np.append(pos[1:], c.end)
+                own = min(c.size, len(pos))
+                found = similar([x for x, _ in wanted], [x for _, x in wanted], c.text.split(" "), own, threshold, MOST_REPETITIONS)
+                out = [(who, k, score, pos[a], upto[b], span) for x, score, a, b, span in found for who, k in named[wanted[x]]]
+                if out:
+                    yield pd.DataFrame(out, columns=columns)
+
+    return cells.mapInPandas(search, f"id {dict(v.dtypes)['id']}, k int, score double, i int, j int, span string")
 
 
 def matches(phrases: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``id, r, score, i, j, k, span``: up to four spans per phrase that are similar enough and don't overlap, best first.
 
-    The similarity is taken of distinct pairs of skeletons only, after bounds that lose none: the
-    length band, and that a ratio can't exceed twice the shorter length over both (and, in the
-    similarity itself, twice the letters in common). Of equal scores the later start wins, then the
-    longer run, then the later skeleton of the phrase.
+    Of equal scores the later start wins, then the longer run, then the later skeleton of the phrase.
     """
-    v = probes(phrases).withColumn("target", F.max(F.length("skel")).over(Window.partitionBy("id")))
-    most = v.agg(F.max("target")).first()[0] or 0
-    n, target = F.length("span"), F.col("target")
-    both, least = F.length("skel") + n, F.least(F.length("skel"), n)
-    band = (n >= 0.5 * target) & (n <= 1.8 * target + 3) & (2 * least >= threshold * both - 1e-9)
-    cand = v.join(spans(words, most), "video_id").filter(band)
-    scored = cand.select("skel", "span").distinct().withColumn("score", matching_ratio(F.col("skel"), F.col("span"), threshold)).filter(F.col("score") >= threshold)
-    hits = cand.join(scored, ["skel", "span"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("score", "i", "j", "k", "span")), asc=False).alias("h"))
+    found = hits(phrases, words, threshold).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("score", "i", "j", "k", "span")), asc=False).alias("h"))
     free = lambda kept, x: ~F.exists(kept, lambda m: (x["i"] < m["j"]) & (m["i"] < x["j"])) & (F.size(kept) < MOST_REPETITIONS)
     empty = F.array().cast("array<struct<score:double,i:int,j:int,k:int,span:string>>")
     picked = F.aggregate("h", empty, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    return hits.select("id", F.posexplode(picked).alias("p", "m")).select("id", (F.col("p") + 1).alias("r"), "m.*")
+    return found.select("id", F.posexplode(picked).alias("p", "m")).select("id", (F.col("p") + 1).alias("r"), "m.*")
 
 
 def judged(found: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -127,7 +163,17 @@ def clips(found: DataFrame, words: DataFrame, phrases: DataFrame) -> DataFrame:
     confidence``. Repetition numbers were given before the gates, so there may be gaps.
     """
     timed = judged(found, phrases).filter(F.col("refused").isNull())
-    heard = timed.select("id", "k", "video_id", F.explode(F.sequence("i", F.col("j") - 1)).alias("pos"), "i", "j").join(words.select("video_id", "pos", "w", "s", "e"), ["video_id", "pos"])
+    # Lines and words meet in pages of few words, so a line is moved as it is.
+    page = lambda c: F.floor(c / PAGE)
+    sought = timed.select("id", "k", "video_id", "i", "j", F.explode(F.sequence("i", F.col("j") - 1)).alias("pos")).withColumn("page", page(F.col("pos")))
+    first, n = F.col("pos"), F.col("n")
+    told = lines(words).select("video_id", first.alias("first"), "n", "text", "s", "e", F.explode(F.sequence(page(first), page(first + n - 1))).alias("page"))
+    at = F.col("pos") - F.col("first")
+    each = (F.col("e") - F.col("s")) / n
+    heard = sought.join(told, ["video_id", "page"]).filter((at >= 0) & (at < n)).select(
+        "id", "k", "i", "j", "pos", F.when(n == 1, F.col("text")).otherwise(F.get(F.split("text", " "), at.cast("int"))).alias("w"),
+        (F.col("s") + at * each).alias("s"), F.when(at == n - 1, F.col("e")).otherwise(F.col("s") + (at + 1) * each).alias("e"),
+    )
     said = heard.groupBy("id", "k", "i", "j").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("asr_draft"), F.min_by("s", "pos").alias("ws"), F.max_by("e", "pos").alias("we"))
     start, end = padded(F.col("ws"), F.col("we"))
     d = timed.join(said, ["id", "k", "i", "j"]).withColumns({"s": start, "e": end}).filter((F.col("e") - F.col("s")).between(LEAST_SECONDS, MOST_SECONDS))

@@ -224,16 +224,18 @@ def _phrases(s, d):
 
 
 def _words(s, d):
-    """The words of each source's manifest drafts end to end, half a second each."""
-    m = table(s, d, "manifest").filter("asr_draft IS NOT NULL AND source_id IS NOT NULL").select("source_id", "start", "id", "ingested_at", F.filter(F.split("asr_draft", r"\s+"), lambda w: w != "").alias("ws"))
-    # Numbers of words in two levels, by minutes of the source and inside them.
-    m = m.withColumns({"n": F.size("ws"), "b": F.floor(F.coalesce("start", F.lit(-60.0)) / 60)})
-    totals = m.groupBy("source_id", "b").agg(F.sum("n").alias("t"))
+    """The words of each source's manifest drafts end to end, half a second each, as lists."""
+    m = table(s, d, "manifest").filter("asr_draft IS NOT NULL AND source_id IS NOT NULL").select("source_id", "start", "id", "ingested_at", "asr_draft")
+    # Numbers of words in two levels, by minutes of the source and inside them; drafts are parted after they are moved.
+    m = m.withColumn("b", F.floor(F.coalesce("start", F.lit(-60.0)) / 60))
+    ws = F.filter(F.split("asr_draft", r"\s+"), lambda w: w != "")
+    totals = m.groupBy("source_id", "b").agg(F.sum(F.size(ws)).alias("t"))
+    m = m.repartition("source_id", "b").select("source_id", "b", "start", "id", "ingested_at", ws.alias("ws")).withColumn("n", F.size("ws"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("source_id", "b").orderBy("start", "id", "ingested_at", "ws").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = m.withColumn("inside", inside).join(totals.select("source_id", "b", before.alias("past")), ["source_id", "b"])
-    w = placed.select(F.col("source_id").alias("video_id"), (F.col("past") + F.col("inside")).alias("first"), F.posexplode("ws").alias("p", "w"))
-    return w.select("video_id", (F.col("first") + F.col("p")).cast("int").alias("pos"), "w").withColumns({"s": F.col("pos") * 0.5, "e": F.col("pos") * 0.5 + 0.5})
+    first = (F.col("past") + F.col("inside")).cast("int")
+    return placed.select(F.col("source_id").alias("video_id"), first.alias("pos"), "ws", (first * 0.5).alias("s"), ((first + F.col("n")) * 0.5).alias("e"))
 
 
 def fuzzy_align(s, d):
