@@ -142,10 +142,18 @@ def _sound_classes() -> tuple[str, str]:
     return "".join(c for c, _ in both), "".join(k for _, k in both)
 
 
+def _ranges(letters: str) -> str:
+    """Letters as ranges of a pattern's class, as a long list of single ones is slow."""
+    points = sorted(set(map(ord, letters)))
+    first = [c for c in points if c - 1 not in points]
+    last = [c for c in points if c + 1 not in points]
+    return "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in zip(first, last))
+
+
 def skeleton_gujarati(text: Column, kept: str = "") -> Column:
     """One letter per sound class; Devanagari counts as Gujarati, all else but ``kept`` is dropped."""
     known, classes = _sound_classes()
-    return F.translate(F.regexp_replace(text, f"[^{known}{kept}]", ""), known, classes)
+    return F.translate(F.regexp_replace(text, f"[^{_ranges(known)}{kept}]", ""), known, classes)
 
 
 def skeleton_roman(text: Column) -> Column:
@@ -164,5 +172,5 @@ def skeleton(text: Column) -> Column:
 
 def skeletons(text: Column) -> Column:
     """The skeletons of words between single blanks, in one pass where no letter lacks a sound class: there the Gujarati ones are as long as any."""
-    unclassed = text.rlike(rf"[\p{{L}}&&[^{_sound_classes()[0]}]]")
+    unclassed = text.rlike(rf"[\p{{L}}&&[^{_ranges(_sound_classes()[0])}]]")
     return F.when(~unclassed, skeleton_gujarati(text, " ")).otherwise(F.array_join(F.transform(F.split(text, " "), skeleton), " "))
